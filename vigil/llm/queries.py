@@ -29,6 +29,43 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.mixing import mix, taken
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return taken(mix(docs)).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+OP3_SQL = """
+WITH sized AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key,
+         coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0)::BIGINT AS size,
+         md5('7|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS shuffle
+  FROM documents),
+by_source AS (SELECT key, sum(size)::BIGINT AS source_size FROM sized GROUP BY key),
+ranked AS (
+  SELECT key, source_size, [5, 2, 1][(row_number() OVER (ORDER BY key) - 1) % 3 + 1]::BIGINT AS weight FROM by_source),
+ratios AS (SELECT *, source_size * 3 AS cap, (source_size * 3)::DOUBLE / weight AS ratio FROM ranked),
+levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0))::DOUBLE
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0))::DOUBLE AS level
+  FROM ratios WINDOW w AS (ORDER BY ratio, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+fixed AS (SELECT level FROM levels WHERE level <= ratio ORDER BY ratio, key LIMIT 1),
+goals AS (
+  SELECT key, source_size, least(cap::DOUBLE, weight * (SELECT level FROM fixed)) AS target FROM levels),
+whole AS (SELECT *, least(round(target)::BIGINT, source_size * 3) AS take FROM goals),
+streams AS (
+  SELECT s.doc_id, s.size, w.source_size, w.target, w.take,
+         coalesce(sum(s.size) OVER (PARTITION BY s.key ORDER BY s.shuffle, s.doc_id
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+  FROM sized s JOIN whole w USING (key))
+SELECT doc_id, size, source_size, target,
+       (CASE WHEN source_size = 0 THEN 0
+             ELSE size * (take // source_size) + greatest(0, least(pos + size, take % source_size) - pos) END)::BIGINT AS taken
+FROM streams
+"""
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str, limit: int = 1024) -> DataFrame:
     from vigil.llm.token_counts import count_tokens
 
@@ -43,7 +80,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str, limit: int = 1024) -> Dat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op3_source_mix": op3_source_mix,
     "op5_token_counts": op5_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_source_mix": OP3_SQL,
+}
