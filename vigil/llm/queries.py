@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,12 +79,46 @@ def op5_token_counts(spark: SparkSession, sf_dir: str, limit: int = 1024) -> Dat
     )
 
 
+def op6_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.common import shared_dir
+    from vigil.llm.warc import bundle, plan_records, read_bundles
+
+    where = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    bundle(plan_records(pages, "page_id", "url", "html")).write.parquet(where)
+    return read_bundles(spark.read.parquet(where)).select(
+        F.col("id").try_cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").try_cast("long").alias("refers_to"),
+    )
+
+
+OP6_SQL = """
+WITH bodies AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex,
+         min(page_id) OVER (PARTITION BY sha1(coalesce(html, ''))) AS first
+  FROM pages),
+quintets AS (
+  SELECT *, list_transform(range(8), lambda i: ('0x' || substr(hex, 5 * i + 1, 5))::INTEGER) AS q FROM bodies)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((q[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM quintets
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op3_source_mix": op3_source_mix,
     "op5_token_counts": op5_token_counts,
+    "op6_warc_bundles": op6_warc_bundles,
 }
 
 ORACLES: dict[str, str] = {
     "op3_source_mix": OP3_SQL,
+    "op6_warc_bundles": OP6_SQL,
 }
