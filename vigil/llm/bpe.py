@@ -45,6 +45,8 @@ MEMO_ENTRIES = 300_000
 
 PLAIN_SPACE = " \t\n\r"
 _CHUNK = re.compile(r"[^ \t\n\r]+")
+#: The same, with letters at a chunk's start apart where ASCII that is no letter follows: splitting breaks there too.
+_HEADS = re.compile(r"(?<![^ \t\n\r])[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\x00-\x7f]|$)|[^ \t\n\r]+")
 _OTHER_SPACE = re.compile(r"[^\S \t\n\r]|[\x1c-\x1f\x85]")
 
 
@@ -80,6 +82,8 @@ class TreeEncoder:
         spec["model"]["end_of_word_suffix"] = None
         self.open_model = Tokenizer.from_str(json.dumps(spec)).model
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
+        self._units = _CHUNK if any(x[0].isalpha() for x in self.specials) else _HEADS
+        self._strings = None if self.tok.decoder is not None else {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
         self._special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
 
     # ---- plain encoding of what is small
@@ -91,7 +95,7 @@ class TreeEncoder:
         """Encoding of a short text as int32 bytes; its white-space-free chunks come from a memo."""
         if _OTHER_SPACE.search(text):
             return self._plain(text).tobytes()
-        chunks = _CHUNK.findall(text)
+        chunks = self._units.findall(text)
         memo = self.memo
         try:
             return b"".join(map(memo.__getitem__, chunks))
@@ -243,6 +247,8 @@ class TreeEncoder:
     # ---- decoding
 
     def decode(self, ids: np.ndarray) -> str:
+        if self._strings is not None:  # without a decoder the library joins the tokens by spaces
+            return " ".join(map(self._strings.__getitem__, ids.tolist()))
         return self.tok.decode(ids.tolist(), skip_special_tokens=False)
 
 
