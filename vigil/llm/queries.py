@@ -111,14 +111,61 @@ FROM quintets
 """
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=["doc_id"])
+
+
+OP10_SQL = """
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS host,
+         regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS words
+  FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(words[i : i + 7], ' ') AS win
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM docs WHERE len(words) >= 8)),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS n FROM windows) WHERE n > 1),
+repeats AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM again) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, host, text, line, regexp_extract_all(line, '[^ \t\n\x0B\f\r]+') AS parts
+  FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM docs)),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE len(parts) > 0 GROUP BY doc_id),
+marked AS (
+  SELECT doc_id, host, text, len(parts) AS n,
+         translate(array_to_string(parts, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS norm
+  FROM lines WHERE len(parts) BETWEEN 1 AND 30),
+hosts AS (SELECT host, count(DISTINCT text) AS docs FROM docs GROUP BY host),
+often AS (
+  SELECT host, norm FROM (SELECT host, norm, count(DISTINCT text) AS n FROM marked GROUP BY host, norm) JOIN hosts USING (host)
+  WHERE n >= 20 AND n * 100 > docs * 10),
+removed AS (SELECT doc_id, sum(n) AS n FROM marked SEMI JOIN often USING (host, norm) GROUP BY doc_id),
+measured AS (
+  SELECT d.doc_id, len(words)::BIGINT AS n_words,
+         length(array_to_string(words, ''))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words,
+         coalesce(removed.n, 0) AS gone
+  FROM docs d LEFT JOIN dups USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN removed USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
+         AND n_words - gone >= 20 AND 100 * (n_words - gone) >= 30 * n_words AS kept
+FROM measured
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op3_source_mix": op3_source_mix,
     "op5_token_counts": op5_token_counts,
     "op6_warc_bundles": op6_warc_bundles,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
     "op3_source_mix": OP3_SQL,
     "op6_warc_bundles": OP6_SQL,
+    "op10_quality_rules": OP10_SQL,
 }
