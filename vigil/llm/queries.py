@@ -147,6 +147,19 @@ FROM documents d JOIN reach USING (doc_id) LEFT JOIN sizes s USING (doc_id) GROU
 """
 
 
+def held_out(id_col: str = "doc_id") -> F.Column:
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.langid import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.filter(~held_out()).select("doc_id", "text", "lang"))
+    got = predict(docs.select("doc_id", "text"), model)
+    return got.select("doc_id", held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.quality import judge
 
@@ -198,6 +211,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_warc_bundles": op6_warc_bundles,
     "op7_near_duplicates": op7_near_duplicates,
+    "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
 
