@@ -30,6 +30,13 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.html_text import extract_text
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.mixing import mix, taken
 
@@ -207,6 +214,7 @@ FROM measured
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_html_text": op2_html_text,
     "op3_source_mix": op3_source_mix,
     "op5_token_counts": op5_token_counts,
     "op6_warc_bundles": op6_warc_bundles,
