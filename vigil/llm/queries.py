@@ -74,6 +74,24 @@ FROM streams
 """
 
 
+def op4_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.jpeg import load, store
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = load(store(docs), pixels=True)
+    size = F.format_string("%dx%d rgb=%.3f,%.3f,%.3f", "contents.width", "contents.height", *[F.col("contents.means")[i] for i in range(3)])
+    return got.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.octet_length("contents.payload").cast("long").alias("payload_bytes"),
+        F.sha2("contents.payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(contents.payload, -16)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat(size, F.lit(" md5="), F.md5("contents.rgb")).alias("feature"),
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str, limit: int = 1024) -> DataFrame:
     from vigil.llm.token_counts import count_tokens
 
@@ -216,6 +234,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_html_text": op2_html_text,
     "op3_source_mix": op3_source_mix,
+    "op4_media_jpeg": op4_media_jpeg,
     "op5_token_counts": op5_token_counts,
     "op6_warc_bundles": op6_warc_bundles,
     "op7_near_duplicates": op7_near_duplicates,
