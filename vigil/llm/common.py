@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,3 +46,17 @@ def word_count(text: str) -> F.Column:
 def bounded_batches(spark: SparkSession, most: str = "32m") -> None:
     """Bound the bytes of an Arrow batch for this session, so that workers' memory doesn't follow the length of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
+def stored(df: DataFrame, name: str = "part") -> DataFrame:
+    """df as a Parquet table in the shared folder; its known size lets Spark broadcast it only where it is small."""
+    where = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.parquet(where)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, made longer until df has no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name

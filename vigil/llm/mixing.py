@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vigil.llm.common import cut, word_count
+from vigil.llm.common import cut, unused, word_count
 
 #: Golden-ratio lattice: the 46th and 45th Fibonacci numbers.
 PERIOD, STEP = 1_836_311_903, 1_134_903_170
@@ -111,6 +111,11 @@ def _schedule(sources: DataFrame, block_words: int) -> DataFrame:
     return got.select("slot", "key", "rank", "pass", "block", (F.col("block") * block_words).alias("from_word"), F.least((F.col("block") + 1) * block_words, end).alias("to_word"))
 
 
+def shuffle_key(id_col: str, text: str, seed: int) -> F.Column:
+    """What a row's place in its source's stream depends on: its id and text."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")))))
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block_words: int = 4096, seed: int = 7) -> Mix:
     """Plan a mix of all of df's words to weights by source; see the module's notes.
 
@@ -118,7 +123,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     column as ``id`` whatever its name is.
     """
     key = F.coalesce(F.concat(F.lit("0"), F.col(source)), F.lit("1"))
-    shuffle = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")))))
+    shuffle = shuffle_key(id_col, text, seed)
     rows = df.select(key.alias("key"), F.col(id_col).alias("id"), word_count(text).alias("size"), shuffle.alias("shuffle"))
     rows = cut(rows.withColumn("bucket", F.substring("shuffle", 1, 3)))
     buckets = cut(rows.groupBy("key", "bucket").agg(F.sum("size").alias("words")))
@@ -128,7 +133,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     offsets = buckets.withColumn("off", F.coalesce(F.sum("words").over(ahead), F.lit(0))).join(sources, "key").drop("words")
     inside = W.partitionBy("key", "bucket").orderBy("shuffle", "id")
     docs = rows.withColumn("row", F.row_number().over(inside)).withColumn("inner", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-    docs = docs.join(offsets, ["key", "bucket"]).withColumn("at", F.col("off") + F.col("inner")).drop("off", "inner", "shuffle")
+    docs = docs.join(offsets, ["key", "bucket"]).withColumn("at", F.col("off") + F.col("inner")).drop("off", "inner")
 
     schedule = _schedule(sources, block_words)
     span = f"sequence(at div {block_words}L, (at + size - 1) div {block_words}L)"
@@ -144,3 +149,19 @@ def taken(plan: Mix) -> DataFrame:
     held = ["key", "bucket", "row", "id", "size", "source_size", "target"]
     got = plan.placements.groupBy(*held).agg(F.sum("words").cast("long").alias("taken"))
     return got.select("id", "size", F.expr("CASE WHEN key <> '1' THEN substring(key, 2) END").alias("source"), "source_size", "target", "taken")
+
+
+def repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, **how) -> DataFrame:
+    """df's rows as often as the mix takes them, in whole documents.
+
+    A row is given as often as its taken words fill it, to the nearest whole number; so rows that the mix
+    does not take are left out. Rows that repeat id and text share what they take evenly.
+    """
+    plan = mix(df, id_col, text, source, seed=seed, **how)
+    got = plan.placements.groupBy("shuffle", "key", "bucket", "row", "size").agg(F.sum("words").alias("taken")).filter("size > 0 AND taken > 0")
+    every = plan.documents.groupBy("shuffle").agg(F.count("*").alias("rows"))
+    got = got.groupBy("shuffle").agg(F.sum(F.col("taken") / F.col("size")).alias("times")).join(every, "shuffle")
+    got = got.select(F.col("shuffle").alias("_shuffle"), F.round(F.col("times") / F.col("rows")).cast("int").alias("_times")).filter("_times > 0")
+    key, nth = unused(df, "_key"), unused(df, "_nth")
+    marked = df.withColumn(key, shuffle_key(id_col, text, seed)).join(got, F.col(key) == F.col("_shuffle"))
+    return marked.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[marked[c] for c in df.columns])

@@ -25,7 +25,6 @@ a node. An empty table gives an empty table. Further columns of the input are no
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -36,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import bounded_batches, cut, shared_dir
+from vigil.llm.common import bounded_batches, cut, stored, unused
 
 WORDS = 5
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -271,16 +270,9 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder; its known size lets Spark choose a broadcast only where it is small."""
-    where = f"{shared_dir(df.sparkSession)}/near-{uuid.uuid4().hex}"
-    df.write.parquet(where)
-    return df.sparkSession.read.parquet(where)
-
-
 def _units(members: DataFrame, blocks: F.Column) -> DataFrame:
     """Members (centre, node, ...) dealt to pairs of blocks (lo, hi) of their centre's group."""
-    many = _stored(members.groupBy("centre").agg(blocks.cast("int").alias("blocks")).filter("blocks > 1"))
+    many = stored(members.groupBy("centre").agg(blocks.cast("int").alias("blocks")).filter("blocks > 1"))
     out = members.join(many, "centre", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     out = out.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     out = out.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -288,7 +280,7 @@ def _units(members: DataFrame, blocks: F.Column) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", plan: Plan = Plan()) -> DataFrame:
-    """id, n_shingles, component (smallest id reachable by links, itself included) for every row of df."""
+    """id, th (a hash of the text), n_shingles, component (smallest id reachable by links, itself included) for every row of df."""
     bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(text, F.lit(3)).alias("th"))
     rows = cut(docs.select("id", "th", _profile(plan)(F.col("text")).alias("p")).select("id", "th", "p.*"))
@@ -307,7 +299,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
     wanted = near.select("node").distinct().join(nodes, "node").select("node", "id", "h1", "h2")
     first = rows.filter("n > 0").groupBy("h1", "h2", F.col("id").alias("rid")).agg(F.min("th").alias("th"))
     wanted = wanted.alias("w").join(first.alias("f"), F.expr("w.h1 = f.h1 AND w.h2 = f.h2 AND w.id <=> f.rid")).select("node", F.col("w.id").alias("wid"), F.col("f.th").alias("wth"))
-    wanted = _stored(wanted)
+    wanted = stored(wanted)
     texts = docs.join(wanted, F.expr("id <=> wid AND th = wth")).select("node", "text").dropDuplicates(["node"])
     sets = texts.select("node", _sets()(F.col("text")).alias("set"))
 
@@ -318,8 +310,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
 
     named = roots.join(nodes.select("node", "h1", "h2", "id"), "node")
     smallest = named.groupBy("root").agg(F.min("id").alias("component"))
-    named = _stored(named.join(smallest, "root").select("h1", "h2", "component"))
+    named = stored(named.join(smallest, "root").select("h1", "h2", "component"))
     same = rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("own"))
     reach = same.join(named, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("component", "own").alias("component"))
     out = rows.join(reach, ["h1", "h2"], "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    return out.select("id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text", plan: Plan = Plan()) -> DataFrame:
+    """The rows of df with the smallest id of each component, once each.
+
+    Rows that repeat id and text count as one. Rows without id give way to a linked row
+    with one; among themselves only equal texts are merged.
+    """
+    got = near_duplicates(df, id_col, text, plan).filter("id <=> component")
+    kept = got.groupBy(F.col("id").alias("kid"), F.when(F.col("id").isNull(), F.col("th")).alias("apart")).agg(F.min("th").alias("kth"))
+    th = unused(df, "_th")
+    rows = df.withColumn(th, F.xxhash64(text, F.lit(3)))
+    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("kid")) & (F.col(th) == F.col("kth")), "left_semi")
+    return rows.dropDuplicates([id_col, th]).select(*df.columns)

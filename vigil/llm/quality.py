@@ -20,6 +20,7 @@ input stay; results come in one struct column.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import bounded_batches, cut
+from vigil.llm.common import bounded_batches, cut, unused
 
 WINDOW = 8
 SPACES = " \t\n\r\x0b\x0c"
@@ -106,51 +107,60 @@ def _salted(df: DataFrame) -> DataFrame:
     return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def judge(
-    df: DataFrame,
-    text: str = "text",
-    host: str = "source",
-    min_words: int = 20,
-    max_repeat_pct: int = 30,
-    max_line_words: int = 30,
-    min_line_docs: int = 20,
-    max_line_pct: int = 10,
-    min_left_pct: int = 30,
-    keep: list[str] | None = None,
-) -> DataFrame:
+@dataclass(frozen=True)
+class Rules:
+    """Limits of the rules; see the module's notes."""
+
+    min_words: int = 20
+    max_repeat_pct: int = 30
+    max_line_words: int = 30
+    min_line_docs: int = 20
+    max_line_pct: int = 10
+    min_left_pct: int = 30
+
+
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+
+
+def _identity(text: str, host: str) -> list[F.Column]:
+    key = F.coalesce(F.concat(F.lit("0"), F.col(host).cast("string")), F.lit("1"))
+    return [key.alias("host"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(9), text).alias("h2")]
+
+
+def judge(df: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules(), keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of df (all but the text by default), the measures, base_failed and kept.
 
     What is kept is written to the shared folder once, with a few hashed lines for each
     row, so that the text is read and measured once. Existing columns named like a result are dropped.
     """
+    keep = [c for c in (keep if keep is not None else df.columns) if c != text and c not in RESULTS]
+    judged = _judged(df, text, host, rules, [F.col(c).alias(f"c{i}") for i, c in enumerate(keep)])
+    return judged.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *RESULTS)
+
+
+def keep_good(df: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
+    """The rows of df that the rules keep, with their columns as they are."""
+    bad = _judged(df, text, host, rules, []).filter("NOT kept").select("host", "h1", "h2").distinct()
+    names = [unused(df, f"_k{i}") for i in range(3)]
+    marked = df.select("*", *[c.alias(n) for c, n in zip(_identity(text, host), names, strict=True)])
+    same = (marked[names[0]] == bad["host"]) & (marked[names[1]] == bad["h1"]) & (marked[names[2]] == bad["h2"])
+    return marked.join(bad, same, "left_anti").select(*df.columns)
+
+
+def _judged(df: DataFrame, text: str, host: str, rules: Rules, held: list[F.Column]) -> DataFrame:
     bounded_batches(df.sparkSession)
-    results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    keep = [c for c in (keep if keep is not None else df.columns) if c != text and c not in results]
-    held = [F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]
-    rows = df.select(
-        *held,
-        F.coalesce(F.concat(F.lit("0"), F.col(host).cast("string")), F.lit("1")).alias("host"),
-        F.xxhash64(text).alias("h1"),
-        F.xxhash64(F.lit(9), text).alias("h2"),
-        measures(text, max_line_words).alias("m"),
-    )
-    rows = cut(rows)
-    texts = rows.groupBy("host", "h1", "h2").agg(F.first("m.lines").alias("lines"))
-    texts = cut(texts)
+    rows = cut(df.select(*held, *_identity(text, host), measures(text, rules.max_line_words).alias("m")))
+    texts = cut(rows.groupBy("host", "h1", "h2").agg(F.first("m.lines").alias("lines")))
     hosts = texts.groupBy("host").agg(F.count("*").alias("docs"))
     lines = texts.select("host", "h1", "h2", F.inline("lines"))
-    often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_line_docs)
-    often = cut(often.join(hosts, "host").filter(F.col("n") * 100 > F.col("docs") * max_line_pct).select("host", "line"))
+    often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.min_line_docs)
+    often = cut(often.join(hosts, "host").filter(F.col("n") * 100 > F.col("docs") * rules.max_line_pct).select("host", "line"))
     hits = lines.withColumn("salt", _salt("h1")).join(_salted(often), ["host", "line", "salt"])
     removed = hits.groupBy("host", "h1", "h2").agg(F.sum("words").alias("removed"))
-    out = rows.withColumn("salt", _salt(*rows.columns[: len(keep)]) if keep else F.lit(0))
-    out = out.join(_salted(removed), ["host", "h1", "h2", "salt"], "left")
+    out = rows.withColumn("salt", _salt(*rows.columns[: len(held)]) if held else F.lit(0))
+    out = out.join(_salted(removed) if held else removed.withColumn("salt", F.lit(0)), ["host", "h1", "h2", "salt"], "left")
     n = F.col("m.n_words")
-    base = (n < min_words) | (F.col("m.n_repeat_words") * 100 > n * max_repeat_pct)
+    base = (n < rules.min_words) | (F.col("m.n_repeat_words") * 100 > n * rules.max_repeat_pct)
     left = n - F.coalesce("removed", F.lit(0))
-    return out.select(
-        *[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)],
-        *[F.col(f"m.{c}").alias(c) for c in results[:5]],
-        base.alias("base_failed"),
-        (~base & (left >= min_words) & (left * 100 >= n * min_left_pct)).alias("kept"),
-    )
+    good = ~base & (left >= rules.min_words) & (left * 100 >= n * rules.min_left_pct)
+    return out.select("*", *[F.col(f"m.{c}").alias(c) for c in RESULTS[:5]], base.alias("base_failed"), good.alias("kept"))
