@@ -55,6 +55,16 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     return df.sparkSession.read.parquet(where)
 
 
+#: Bytes on disk up to which a table of stored() may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A table of stored(), marked for broadcast only if its files hold at most ``most`` bytes."""
+    held = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if held <= most else df
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, made longer until df has no such column."""
     while name.lower() in {c.lower() for c in df.columns}:

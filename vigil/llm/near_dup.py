@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import bounded_batches, cut, stored, unused
+from vigil.llm.common import bounded_batches, cut, small_side, stored, unused
 
 WORDS = 5
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -299,7 +299,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
     wanted = near.select("node").distinct().join(nodes, "node").select("node", "id", "h1", "h2")
     first = rows.filter("n > 0").groupBy("h1", "h2", F.col("id").alias("rid")).agg(F.min("th").alias("th"))
     wanted = wanted.alias("w").join(first.alias("f"), F.expr("w.h1 = f.h1 AND w.h2 = f.h2 AND w.id <=> f.rid")).select("node", F.col("w.id").alias("wid"), F.col("f.th").alias("wth"))
-    wanted = stored(wanted)
+    wanted = small_side(stored(wanted))
     texts = docs.join(wanted, F.expr("id <=> wid AND th = wth")).select("node", "text").dropDuplicates(["node"])
     sets = texts.select("node", _sets()(F.col("text")).alias("set"))
 
