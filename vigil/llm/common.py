@@ -43,7 +43,7 @@ def word_count(text: str) -> F.Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def bounded_batches(spark: SparkSession, most: str = "32m") -> None:
+def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
     """Bound the bytes of an Arrow batch for this session, so that workers' memory doesn't follow the length of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
