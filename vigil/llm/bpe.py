@@ -29,19 +29,19 @@ import os
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import bounded_batches
+from vigil.llm.common import bounded_batches, frugal
 
 LEAF_CHARS = 16_384
 SPREAD_CHARS = 65_536
 #: Entries of the memo of white-space-free chunks that a worker keeps; beyond it the memo starts again.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 200_000
 
 PLAIN_SPACE = " \t\n\r"
 _CHUNK = re.compile(r"[^ \t\n\r]+")
@@ -78,14 +78,23 @@ class TreeEncoder:
         self.tok = Tokenizer.from_str(json.dumps(spec))
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.path = path
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
-        spec["model"]["end_of_word_suffix"] = None
-        self.open_model = Tokenizer.from_str(json.dumps(spec)).model
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
         self._units = _CHUNK if any(x[0].isalpha() for x in self.specials) else _HEADS
         self._strings = None if self.tok.decoder is not None else {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
         self._special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
 
+    @cached_property
+    def open_model(self):
+        """The same model without the mark for the end of a word; only unsplit runs need it."""
+        from tokenizers import Tokenizer
+
+        with open(self.path, encoding="utf-8") as f:
+            spec = json.load(f)
+        spec["model"]["end_of_word_suffix"] = None
+        return Tokenizer.from_str(json.dumps(spec)).model
+
     # ---- plain encoding of what is small
 
     def _plain(self, text: str) -> np.ndarray:
@@ -315,6 +324,7 @@ def _id_lists(parts: list[bytes]) -> pa.Array:
 
 def _encode_udf(path: str, leaf_chars: int) -> Callable:
     @F.arrow_udf(RESULT)
+    @frugal
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoder(path, leaf_chars)
         for texts in batches:
@@ -332,7 +342,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "bpe", leaf_
     for each such text then joins its leaves. Shorter texts never leave their task. An
     existing column named ``out`` is replaced.
     """
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, "4m")
     df = df.drop(out) if out != text else df
     long = F.coalesce(F.length(text), F.lit(0)) > spread_chars
     near = df.filter(~long).withColumn(out, _encode_udf(path, leaf_chars)(F.col(text)))
@@ -345,6 +355,8 @@ def _encode_long(df: DataFrame, path: str, text: str, out: str, leaf_chars: int)
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     @F.arrow_udf("array<struct<no:int,part:string>>")
+
+    @frugal
     def leaves(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoder(path, leaf_chars)
         for texts in batches:
@@ -355,12 +367,16 @@ def _encode_long(df: DataFrame, path: str, text: str, out: str, leaf_chars: int)
             yield pa.array(rows, pa.list_(pa.struct([("no", pa.int32()), ("part", pa.string())])))
 
     @F.arrow_udf("binary")
+
+    @frugal
     def alone(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoder(path, leaf_chars)
         for parts in batches:
             yield pa.array([enc.span(p, 0, len(p)) for p in parts.to_pylist()], pa.binary())
 
     @F.arrow_udf(RESULT)
+
+    @frugal
     def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoder(path, leaf_chars)
         for rows in batches:

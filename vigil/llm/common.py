@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +74,19 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in {c.lower() for c in df.columns}:
         name = f"_{name}"
     return name
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """Give freed memory back to the system after each batch, as workers are kept for later stages."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        for out in run(batches):
+            yield out
+            del out
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped

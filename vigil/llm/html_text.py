@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import bounded_batches
+from vigil.llm.common import bounded_batches, frugal
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -284,6 +284,8 @@ def extract_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFr
     bounded_batches(df.sparkSession)
 
     @F.arrow_udf("string")
+
+    @frugal
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for pages in batches:
             yield pa.array([extract(p) for p in pages.to_pylist()], pa.string())

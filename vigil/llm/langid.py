@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import bounded_batches
+from vigil.llm.common import bounded_batches, frugal
 
 FEATURES = 1 << 15
 BLOCK_CHARS = 1 << 20
@@ -153,6 +153,8 @@ def predict(df: DataFrame, model: Model, text: str = "text", out: str = "languag
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(RESULT)
+
+    @frugal
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("shares", pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))])

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import bounded_batches, cut, small_side, stored, unused
+from vigil.llm.common import bounded_batches, cut, frugal, small_side, stored, unused
 
 WORDS = 5
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -108,6 +108,7 @@ def keys_of(sigs: np.ndarray, plan: Plan) -> np.ndarray:
 
 def _profile(plan: Plan):
     @F.arrow_udf("struct<n:bigint,h1:bigint,h2:bigint,sig:binary>")
+    @frugal
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         factors = plan.factors()
         for texts in batches:
@@ -125,6 +126,7 @@ def _profile(plan: Plan):
 
 def _index(plan: Plan):
     @F.arrow_udf("array<bigint>")
+    @frugal
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for sigs in batches:
             rows = np.frombuffer(b"".join(sigs.to_pylist()), np.uint16).reshape(-1, plan.hashes)
@@ -137,6 +139,7 @@ def _index(plan: Plan):
 
 def _sets():
     @F.arrow_udf("binary")
+    @frugal
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array([shingles(t).tobytes() for t in texts.to_pylist()], pa.binary())

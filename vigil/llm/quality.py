@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import bounded_batches, cut, unused
+from vigil.llm.common import bounded_batches, cut, frugal, unused
 
 WINDOW = 8
 SPACES = " \t\n\r\x0b\x0c"
@@ -90,6 +90,8 @@ def measures(text: str, max_line_words: int) -> F.Column:
     """The base measures and hashed lines of a text column."""
 
     @F.arrow_udf(MEASURES)
+
+    @frugal
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lines = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32())]))
         kind = pa.struct([*((k, pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("lines", lines)])

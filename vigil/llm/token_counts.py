@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import bounded_batches
+from vigil.llm.common import bounded_batches, frugal
 
 BATCH_BYTES = 1 << 20
 MEMO_ENTRIES = 500_000
@@ -116,6 +116,8 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", out: str = "n_tok
     bounded_batches(df.sparkSession)
 
     @F.arrow_udf("bigint")
+
+    @frugal
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = counter(path, batch_bytes)
         for texts in batches:
