@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from vigil.lineage import cut
 from vigil.operators.beacon import beacons
 from vigil.operators.ddos import ddos
 from vigil.operators.dns import generated_names, tunnels
@@ -64,7 +65,11 @@ def available(kinds: set[str], context: Context) -> tuple[list[Detector], list[t
 
 
 def detect(events: dict[str, DataFrame], context: Context | None = None) -> DataFrame:
-    """Detections of every detector that the events allow."""
+    """Detections of every detector that the events allow.
+
+    Detections are few beside events, so each detector's are written to the shared folder once: what fuses
+    them reads them several times, and a plan of all detectors together would be large.
+    """
     context = context or Context()
     ready, _ = available(set(events), context)
-    return together([d.batch(events[d.consumes], context) for d in ready])
+    return together([cut(d.batch(events[d.consumes], context)) for d in ready])

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigil.functions.scoring import severity, severity_score
+from vigil.lineage import cut
 from vigil.operators.base import detections
 from vigil.params import STAGES, Fusion
 
@@ -105,9 +106,9 @@ def alert_key(df: DataFrame) -> Column:
 
 def fuse(found: DataFrame, assets: DataFrame | None = None, allow: DataFrame | None = None, p: Fusion = Fusion(), sensor: str = "sensor", mode: str = "pcap") -> DataFrame:
     """Alerts of detections and of the campaigns among them."""
-    base = merged(allowed_out(found, allow), p)
-    base = base.withColumn("alert_key", alert_key(base))
-    more = merged(allowed_out(campaigns(base, p), allow), p)
+    base = merged(cut(allowed_out(found, allow)), p)
+    base = cut(base.withColumn("alert_key", alert_key(base)))
+    more = merged(cut(allowed_out(campaigns(base, p), allow)), p)
     more = more.withColumn("alert_key", alert_key(more))
     out = with_severity(base.unionByName(more), assets, p)
     return out.withColumns({"confidence": F.round("confidence", 3), "sensor_id": F.lit(sensor), "input_mode": F.lit(mode), "event_time": F.timestamp_micros(F.round(F.col("event_end") * 1e6).cast("long"))})

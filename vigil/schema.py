@@ -16,9 +16,6 @@ FACTORS = "array<struct<feature:string,contribution:double>>"
 DETECTIONS = f"threat_class string, sub_type string, entity string, host string, src string, dst string, dst_port string, proto string, flow_id string, event_start double, event_end double, confidence double, evidence {EVIDENCE}, factors {FACTORS}, summary string, action string, mitre array<string>, model string, model_version string, asset_ip string, related array<string>"
 LEDGER = "seq long, kind string, prev string, hash string, record string"
 
-#: Columns of a detection, in order.
-DETECTION_COLUMNS = [f.name for f in T.StructType.fromDDL(DETECTIONS).fields] if hasattr(T.StructType, "fromDDL") else []
-
 _JSON_TYPES = {"string": "string", "double": "number", "float": "number", "long": "integer", "integer": "integer", "boolean": "boolean", "timestamp": "string"}
 
 
