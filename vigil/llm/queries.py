@@ -172,6 +172,52 @@ FROM documents d JOIN reach USING (doc_id) LEFT JOIN sizes s USING (doc_id) GROU
 """
 
 
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.common import shared_dir
+    from vigil.llm.training_order import read_slots, shards
+
+    where = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    shards(docs).write.option("compression", "zstd").parquet(where)
+    return read_slots(spark.read.parquet(where)).select(F.col("id").alias("doc_id"), "seq_no", "slot", "shard", "byte_offset", "n_tokens", F.md5("tokens").alias("tokens_md5"))
+
+
+def op8_sql(seed: int = 17) -> str:
+    """The same rounds over the same numbers, for documents in the order of their ids (as the tables are)."""
+    from vigil.llm.training_order import PRIME, round_keys
+
+    keys = ", ".join(f"{{'l': 0::BIGINT, 'r': 0::BIGINT, 'a': {a}::BIGINT, 'b': {b}::BIGINT, 'c': {c}::BIGINT}}" for a, b, c in round_keys(seed))
+    mixed = f"((st.r % {PRIME} * rk.a + rk.b) % {PRIME})"
+
+    def rounds(x: str) -> str:
+        start = f"{{'l': ({x} >> bits)::BIGINT, 'r': ({x} & mask)::BIGINT, 'a': 0::BIGINT, 'b': 0::BIGINT, 'c': 0::BIGINT}}"
+        step = f"{{'l': st.r, 'r': xor(st.l, (({mixed} * {mixed} + rk.c) % {PRIME}) & mask), 'a': 0::BIGINT, 'b': 0::BIGINT, 'c': 0::BIGINT}}"
+        done = f"list_reduce([{start}, {keys}], lambda st, rk: {step})"
+        return f"(({done}).l << bits) | ({done}).r"
+
+    return f"""
+WITH RECURSIVE docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+numbered AS (
+  SELECT *, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base,
+         (sum(n) OVER ())::BIGINT AS total
+  FROM (SELECT *, (length(h) // 2 + 1024) // 1024 AS n FROM docs)),
+seqs AS (SELECT doc_id, n, total, unnest(range(n)) AS k, base, h FROM numbered),
+sized AS (
+  SELECT *, base + k AS idx, greatest(1, (length(bin(greatest(1, total - 1))) + 1) // 2)::INTEGER AS bits,
+         (1::BIGINT << greatest(1, (length(bin(greatest(1, total - 1))) + 1) // 2)::INTEGER) - 1 AS mask
+  FROM seqs),
+walk AS (
+  SELECT idx, total, bits, mask, {rounds("idx")} AS x FROM sized
+  UNION ALL SELECT idx, total, bits, mask, {rounds("x")} FROM walk WHERE x >= total),
+parts AS (SELECT doc_id, k, n, x AS slot, substr(h, k * 2048 + 1, 2048) AS part FROM sized JOIN walk USING (idx) WHERE x < walk.total)
+SELECT doc_id, k::INTEGER AS seq_no, slot::BIGINT AS slot, (slot // 4096)::BIGINT AS shard, (32 + slot % 4096 * 2064)::BIGINT AS byte_offset,
+       (length(part) // 2 + (k = n - 1)::INTEGER)::INTEGER AS n_tokens,
+       md5(unhex(regexp_replace(part, '(..)', '\\100', 'g') || CASE WHEN k = n - 1 THEN '0001' ELSE '' END
+           || repeat('0101', (1024 - length(part) // 2 - (k = n - 1)::INTEGER)::INTEGER))) AS tokens_md5
+FROM parts
+"""
+
+
 def held_out(id_col: str = "doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
@@ -238,6 +284,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_warc_bundles": op6_warc_bundles,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_training_order": op8_training_order,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -246,5 +293,6 @@ ORACLES: dict[str, str] = {
     "op3_source_mix": OP3_SQL,
     "op6_warc_bundles": OP6_SQL,
     "op7_near_duplicates": OP7_SQL,
+    "op8_training_order": op8_sql(),
     "op10_quality_rules": OP10_SQL,
 }
