@@ -50,7 +50,7 @@ class Plan:
     hashes: int = 48
     errors: int = 1
     deviations: float = 3.7
-    signature_block: int = 2048
+    signature_block: int = 512
     set_block_bytes: int = 4 << 20
     seed: int = 11
 
