@@ -130,3 +130,17 @@ def test_intel_and_settings(spark, tmp_path):
         check_upload("x.exe", 1)
     ready, off = available({"flows"}, Context())
     assert "dns-dga" not in {d.name for d in ready} and {n for n, _ in off} >= {"dns-dga", "dns-tunnel", "tls-meta", "ml-flow", "dga-ml"}
+
+
+def test_service(spark, tmp_path):
+    from vigil.plans import service
+
+    (tmp_path / "x.pcap").write_bytes(capture())
+    alerts = service.analyse(spark, str(tmp_path / "x.pcap"))
+    assert alerts.count() == 0 and service.alert_list(alerts).count() == 0 and service.alert_metrics(alerts).count() == 0
+    assert '"alert_key"' in service.alert_schema(alerts)
+    assert service.health({"flows"})["disabled"]["tls-meta"]
+    got = service.latency(spark.range(1, 101), "id").first()
+    assert (got.n, got.p50, got.p95) == (100, 50, 95)
+    with pytest.raises(ValueError):
+        service.analyse(spark, __file__)

@@ -314,12 +314,17 @@ def recent_alerts(spark, sf):
 
 @query("nearest_rank_p95", "SELECT l_returnflag, list_sort(list(l_extendedprice))[least(count(*), floor(count(*) * 0.95)::BIGINT + 1)] AS p95, list_sort(list(l_extendedprice))[least(count(*), floor(count(*) * 0.5)::BIGINT + 1)] AS p50 FROM lineitem GROUP BY l_returnflag")
 def nearest_rank_p95(spark, sf):
-    """Exact ranks without gathering a group: price counts are summed along the sorted distinct prices."""
-    per = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_extendedprice").agg(F.count("*").alias("n"))
-    along = W.partitionBy("l_returnflag").orderBy("l_extendedprice")
-    per = per.withColumn("upto", F.sum("n").over(along)).withColumn("total", F.sum("n").over(W.partitionBy("l_returnflag")))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.least("total", F.floor(F.col("total") * q) + 1), F.col("l_extendedprice")))
-    return per.groupBy("l_returnflag").agg(at(0.95).alias("p95"), at(0.5).alias("p50"))
+    """Exact ranks without gathering a group: counts by price range find the range of a rank, then only that range is sorted."""
+    per = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_extendedprice").agg(F.count("*").alias("n")).withColumn("range", F.floor(F.col("l_extendedprice") / 500))
+    ranges = per.groupBy("l_returnflag", "range").agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(W.partitionBy("l_returnflag"))
+    ranges = ranges.withColumn("upto", F.sum("n").over(W.partitionBy("l_returnflag").orderBy("range"))).withColumn("total", total)
+    wanted = ranges.select("*", F.explode(F.array(F.lit(0.95), F.lit(0.5))).alias("q")).withColumn("rank", F.least("total", F.floor(F.col("total") * F.col("q")) + 1))
+    wanted = wanted.filter((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n"))).select("l_returnflag", "range", "q", "rank", (F.col("upto") - F.col("n")).alias("before"))
+    inside = per.join(wanted, ["l_returnflag", "range"])
+    inside = inside.withColumn("at", F.col("before") + F.sum("n").over(W.partitionBy("l_returnflag", "q").orderBy("l_extendedprice"))).filter(F.col("at") >= F.col("rank"))
+    found = inside.groupBy("l_returnflag", "q").agg(F.min("l_extendedprice").alias("price"))
+    return found.groupBy("l_returnflag").agg(F.max(F.when(F.col("q") == 0.95, F.col("price"))).alias("p95"), F.max(F.when(F.col("q") == 0.5, F.col("price"))).alias("p50"))
 
 
 @query("hash_chain", "SELECT list_reduce(list(n_name || '|' || n_regionkey ORDER BY n_nationkey), lambda h, r: sha256(h || r), repeat('0', 64)) AS head, count(*) AS height FROM nation")

@@ -11,23 +11,34 @@ from pyspark.sql import functions as F
 
 from vigil.params import EPHEMERAL_MIN, INTERNAL_NETWORKS, TCP, UDP
 
-V4 = r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"
+
+def let(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def ipv4_number(ip: Column) -> Column:
     """A dotted address as a number; null for anything else."""
-    number = F.aggregate(F.split(ip, r"\."), F.lit(0).cast("long"), lambda a, x: a * 256 + x.try_cast("long"))
-    return F.when(ip.rlike(V4), number)
+
+    def number(parts: Column) -> Column:
+        n = F.aggregate(F.transform(parts, lambda x: x.try_cast("int")), F.lit(0).cast("long"), lambda a, x: F.when(x.between(0, 255), a * 256 + x))
+        return F.when(F.size(parts) == 4, n)
+
+    return let(F.split(ip, r"\."), number)
 
 
 def in_networks(ip: Column, networks: tuple[str, ...] = INTERNAL_NETWORKS) -> Column:
     """Whether an address lies in one of the networks; false for what can't be read. IPv6 needs packed_v6()."""
-    number, hit = ipv4_number(ip), F.lit(False)
-    for text in networks:
-        net = ipaddress.ip_network(text, strict=False)
-        if net.version == 4:
-            lo = int(net.network_address)
-            hit = hit | number.between(lo, lo + net.num_addresses - 1)
+    four = [n for n in (ipaddress.ip_network(t, strict=False) for t in networks) if n.version == 4]
+
+    def held(number: Column) -> Column:
+        hit = F.lit(False)
+        for n in four:
+            lo = int(n.network_address)
+            hit = hit | number.between(lo, lo + n.num_addresses - 1)
+        return hit
+
+    hit = F.coalesce(let(ipv4_number(ip), held), F.lit(False))
     v6 = [n for n in networks if ":" in n]
     if v6:
         hit = hit | F.when(ip.contains(":"), in_v6(v6)(ip)).otherwise(False)

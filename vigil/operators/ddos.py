@@ -8,33 +8,43 @@ from pyspark.sql import functions as F
 from vigil.functions.net import probable_reply
 from vigil.functions.scoring import Signal, combine, evidence, strength
 from vigil.functions.stats import zscore
-from vigil.operators.base import detections, tumbling
+from vigil.lineage import cut
+from vigil.operators.base import detections, together, tumbling
 from vigil.params import AMPLIFIERS, TCP, Ddos
 
 
-def ddos_windows(flows: DataFrame, p: Ddos = Ddos()) -> DataFrame:
-    """Counts of each (target, window). Sources are counted first, so a target that everybody floods is summed in parallel."""
+def touched(flows: DataFrame, p: Ddos = Ddos()) -> DataFrame:
+    """A row for each target that a flow touches: as the end of amplified traffic, and of a new flow."""
     reply = probable_reply(F.col("mode"), F.col("src_port"), F.col("dst_port"))
-    fresh = (F.col("export_index") == 0) & ~reply
-    touch = lambda target, into, out, new: F.struct(F.col(target).alias("target"), F.col(into).alias("into"), F.col(out).alias("out"), F.lit(new).alias("new"))
-    touches = F.array_compact(F.array(
-        F.when(F.col("src_port").isin(*AMPLIFIERS), touch("dst_ip", "bytes_fwd", "bytes_bwd", False)),
-        F.when(F.col("dst_port").isin(*AMPLIFIERS), touch("src_ip", "bytes_bwd", "bytes_fwd", False)),
-        F.when(fresh, touch("dst_ip", "bytes_fwd", "bytes_bwd", True)),
-    ))
-    rows = flows.select("*", F.posexplode(touches).alias("_nth", "t"), tumbling(F.col("last_ts"), p.window_s).alias("win"))
-    new, tcp = F.col("t.new"), F.col("proto") == TCP
-    opened = F.min_by(F.struct("dst_port", "proto", "flow_id", "first_ts"), F.struct("seq", "_nth"))
-    by_source = rows.groupBy(F.col("t.target").alias("target"), "win", F.when(new, F.col("src_ip")).alias("source")).agg(
+    kept = ["seq", "src_ip", "dst_port", "proto", "flow_id", "first_ts", "last_ts", "syn_seen", "synack_seen", "min_ttl", "max_ttl"]
+
+    def branch(rows: DataFrame, nth: int, target: str, into: str, out: str) -> DataFrame:
+        parts = [F.col(target).alias("target"), F.col(into).alias("into"), F.col(out).alias("out"), F.lit(nth == 2).alias("new"), (F.col("seq") * 4 + nth).alias("_at")]
+        return rows.select(*kept, *parts, tumbling(F.col("last_ts"), p.window_s).alias("win"))
+
+    return together([
+        branch(flows.filter(F.col("src_port").isin(*AMPLIFIERS)), 0, "dst_ip", "bytes_fwd", "bytes_bwd"),
+        branch(flows.filter(F.col("dst_port").isin(*AMPLIFIERS)), 1, "src_ip", "bytes_bwd", "bytes_fwd"),
+        branch(flows.filter((F.col("export_index") == 0) & ~reply), 2, "dst_ip", "bytes_fwd", "bytes_bwd"),
+    ])
+
+
+def ddos_windows(flows: DataFrame, p: Ddos = Ddos()) -> DataFrame:
+    """Counts of each (target, window). Sources are counted first, so a target that everybody floods is summed in parallel.
+
+    All sums are numbers, which keeps the aggregation hashed; what the first flow looked like is fetched for floods only.
+    """
+    rows = touched(flows, p)
+    new, tcp = F.col("new"), F.col("proto") == TCP
+    by_source = rows.groupBy("target", "win", F.when(new, F.col("src_ip")).alias("source")).agg(
         F.count_if(new).alias("n"),
         F.count_if(new & tcp).alias("tcp"),
         F.count_if(new & tcp & F.col("syn_seen") & ~F.col("synack_seen")).alias("syn"),
-        F.sum(F.when(~new, F.col("t.into"))).alias("into"),
-        F.sum(F.when(~new, F.col("t.out"))).alias("out"),
+        F.sum(F.when(~new, F.col("into"))).alias("into"),
+        F.sum(F.when(~new, F.col("out"))).alias("out"),
         F.min(F.when(new & (F.col("min_ttl") > 0), F.col("min_ttl"))).alias("low"),
         F.max(F.when(new & (F.col("min_ttl") > 0), F.col("max_ttl"))).alias("high"),
-        F.min(F.struct("seq", "_nth")).alias("at"),
-        opened.alias("opened"),
+        F.min("_at").alias("at"),
         F.max("last_ts").alias("last"),
     )
     total = F.sum("n")
@@ -48,14 +58,14 @@ def ddos_windows(flows: DataFrame, p: Ddos = Ddos()) -> DataFrame:
         F.coalesce(F.sum("into"), F.lit(0)).alias("amp_in"),
         F.coalesce(F.sum("out"), F.lit(0)).alias("amp_out"),
         F.greatest(F.coalesce(F.max("high") - F.min("low"), F.lit(0)), F.lit(0)).alias("ttl_spread"),
-        F.min_by("opened", "at").alias("opened"),
+        F.min("at").alias("at"),
         F.max("last").alias("last_ts"),
     )
 
 
 def ddos(flows: DataFrame, p: Ddos = Ddos()) -> DataFrame:
     """Detections of flooded windows; the baseline of a target learns from its quiet and suppressed windows only."""
-    w = ddos_windows(flows, p)
+    w = cut(ddos_windows(flows, p))  # small beside the flows, and read several times
     w = w.withColumn("rate", F.col("new_flows") / p.window_s).withColumn("amp_rate", F.col("amp_in") / p.window_s)
     w = w.withColumn("by_bytes", F.col("amp_rate") >= p.amp_bytes_per_s).withColumn("flood", (F.col("rate") >= p.flows_per_s) | F.col("by_bytes"))
     w = w.withColumn("syn_ratio", F.when(F.col("tcp_new") > 0, F.col("syn_only") / F.col("tcp_new")).otherwise(0.0))
@@ -86,7 +96,9 @@ def ddos(flows: DataFrame, p: Ddos = Ddos()) -> DataFrame:
     needed = F.struct("win", "rate", "amp_rate", "by_bytes", "flood", "entropy", "tcp_new", "syn_ratio", "amp_ratio")
     series = w.join(flooded, "target", "left_semi").groupBy("target").agg(F.sort_array(F.collect_list(needed)).alias("s"))
     hits = series.select("target", F.inline(F.aggregate("s", start, step, lambda a: a["hits"])))
-    found = w.join(hits, ["target", "win"])
+    found = cut(w.join(hits, ["target", "win"]))
+    first = touched(flows, p).join(found.select("target", "win", "at"), ["target", "win"]).filter("_at = at")
+    found = found.join(first.select("target", "win", F.struct("dst_port", "proto", "flow_id", "first_ts").alias("opened")), ["target", "win"])
     rated = F.when(F.col("by_bytes"), F.col("amp_rate") / p.amp_bytes_per_s * p.rate_z).otherwise(F.greatest("z", F.lit(0.0)))
     confidence, factors = combine([
         Signal("flow_rate_z", rated, p.rate_z, p.w_rate),

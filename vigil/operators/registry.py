@@ -16,7 +16,7 @@ from vigil.operators.ml import classify_flows, classify_queries
 from vigil.operators.scan import scans
 from vigil.operators.tls import tls_clients
 from vigil.params import INTERNAL_NETWORKS
-from vigil.plans.fusion import together
+from vigil.operators.base import together
 from vigil.sources.readers import Intel
 
 

@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vigil.functions.net import probable_reply
 from vigil.functions.scoring import Signal, combine, evidence
+from vigil.lineage import cut
 from vigil.operators.base import detections
 from vigil.params import MODBUS_PORT, TCP, Scan
 
 
-def contacts(flows: DataFrame, p: Scan = Scan()) -> DataFrame:
+def contacts(flows: DataFrame, p: Scan = Scan(), min_failures: int = 0) -> DataFrame:
     """First contacts of each source's session: src, session, nth, target, ok, and the session's last time so far.
 
-    A session ends when a flow starts more than the gap after the latest end so far.
+    A session ends when a flow starts more than the gap after the latest end so far. Sources with fewer
+    unanswered flows than ``min_failures`` are left out before anything is ordered.
     """
     reply = probable_reply(F.col("mode"), F.col("src_port"), F.col("dst_port"))
     tcp = flows.filter((F.col("proto") == TCP) & (F.col("export_index") == 0) & ~reply)
+    if min_failures:
+        failing = tcp.groupBy("src_ip").agg(F.count_if(~F.col("synack_seen")).alias("n")).filter(F.col("n") >= min_failures)
+        tcp = tcp.join(failing, "src_ip", "left_semi")
     along = W.partitionBy("src_ip").orderBy("seq")
     before = F.max("last_ts").over(along.rowsBetween(W.unboundedPreceding, -1))
     fresh = F.when(before.isNull() | (F.col("first_ts") - before > p.gap_s), 1).otherwise(0)
@@ -33,7 +40,7 @@ def contacts(flows: DataFrame, p: Scan = Scan()) -> DataFrame:
 
 def scans(flows: DataFrame, p: Scan = Scan()) -> DataFrame:
     """Detections as soon as a source is a scanner with enough targets, and at each doubling of them."""
-    firsts = contacts(flows, p)
+    firsts = cut(contacts(flows, p, math.ceil(p.trw.upper / p.trw.on_failure)))  # no walk gets to its bound with fewer failures
 
     def step(a, ok):
         moved = a["score"] + F.when(ok, p.trw.on_success).otherwise(p.trw.on_failure)
@@ -48,7 +55,7 @@ def scans(flows: DataFrame, p: Scan = Scan()) -> DataFrame:
         F.transform(F.sort_array(F.collect_list(F.struct("nth", "ok"))), lambda x: x["ok"]).alias("walk"),
         F.min_by(F.struct("flow_id", "first_ts"), "nth").alias("opened"),
     )
-    fired = walk.select("src_ip", "session", "opened", F.inline(F.aggregate("walk", start, step, lambda a: a["fired"])))
+    fired = cut(walk.select("src_ip", "session", "opened", F.inline(F.aggregate("walk", start, step, lambda a: a["fired"]))))
 
     # Shape of the scan when it fired: each firing sees the contacts before it.
     seen = fired.join(firsts, ["src_ip", "session"]).filter("nth <= n")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -136,7 +134,3 @@ def by_key(alerts: DataFrame, key: str) -> DataFrame:
 def metrics(alerts: DataFrame) -> DataFrame:
     """Counts by class and severity."""
     return alerts.groupBy("threat_class", "severity").agg(F.count("*").alias("alerts"), F.sum("events_merged").alias("events"))
-
-
-def together(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

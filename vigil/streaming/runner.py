@@ -31,11 +31,11 @@ def alert_stream(stream: DataFrame, kind: str, ledger: str, checkpoint: str, his
         spark = new.sparkSession
         ts = "last_ts" if kind == "flows" else "ts"
         new.write.mode("overwrite").parquet(f"{history}/batch={n}")
-        every = spark.read.option("basePath", history).parquet(history).drop("batch")
-        newest = every.agg(F.max(ts)).first()[0]
+        newest = spark.read.parquet(f"{history}/batch={n}").agg(F.max(ts)).first()[0]
         if newest is None:
             return
-        alerts = fuse(detect({kind: every.filter(F.col(ts) > newest - keep_s).select(*new.columns)}, context))
+        every = spark.read.option("basePath", history).parquet(history).filter(F.col(ts) > newest - keep_s)  # files' own bounds leave old ones out
+        alerts = fuse(detect({kind: every.select(*new.columns)}, context))
         book = Ledger(ledger)
         told = _keys(ledger)
         fresh = alerts.filter(~F.col("alert_key").isin(*told)) if told else alerts
