@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from vigil.llm.common import bounded_batches, cut, frugal, small_side, stored, unused
 
 WORDS = 5
+SALTS = 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -314,9 +315,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
     named = roots.join(nodes.select("node", "h1", "h2", "id"), "node")
     smallest = named.groupBy("root").agg(F.min("id").alias("component"))
     named = stored(named.join(smallest, "root").select("h1", "h2", "component"))
-    same = rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("own"))
-    reach = same.join(named, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("component", "own").alias("component"))
-    out = rows.join(reach, ["h1", "h2"], "left")
+    # Rows find their set's component by salted keys, as a third of them may hold one set.
+    reach = nodes.select("h1", "h2", F.col("id").alias("own")).join(named, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("component", "own").alias("component"))
+    reach = reach.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = rows.withColumn("salt", F.pmod(F.xxhash64("id", "th"), F.lit(SALTS)).cast("int")).join(reach, ["h1", "h2", "salt"], "left")
     return out.select("id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
 
 
