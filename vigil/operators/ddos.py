@@ -19,7 +19,7 @@ def touched(flows: DataFrame, p: Ddos = Ddos()) -> DataFrame:
     kept = ["seq", "src_ip", "dst_port", "proto", "flow_id", "first_ts", "last_ts", "syn_seen", "synack_seen", "min_ttl", "max_ttl"]
 
     def branch(rows: DataFrame, nth: int, target: str, into: str, out: str) -> DataFrame:
-        parts = [F.col(target).alias("target"), F.col(into).alias("into"), F.col(out).alias("out"), F.lit(nth == 2).alias("new"), (F.col("seq") * 4 + nth).alias("_at")]
+        parts = [F.col(target).alias("target"), F.col(into).alias("into"), F.col(out).alias("out"), F.lit(nth == 2).alias("new"), F.lit(nth).alias("_nth")]
         return rows.select(*kept, *parts, tumbling(F.col("last_ts"), p.window_s).alias("win"))
 
     return together([
@@ -44,7 +44,7 @@ def ddos_windows(flows: DataFrame, p: Ddos = Ddos()) -> DataFrame:
         F.sum(F.when(~new, F.col("out"))).alias("out"),
         F.min(F.when(new & (F.col("min_ttl") > 0), F.col("min_ttl"))).alias("low"),
         F.max(F.when(new & (F.col("min_ttl") > 0), F.col("max_ttl"))).alias("high"),
-        F.min("_at").alias("at"),
+        F.min("seq").alias("at"),
         F.max("last_ts").alias("last"),
     )
     total = F.sum("n")
@@ -97,8 +97,9 @@ def ddos(flows: DataFrame, p: Ddos = Ddos()) -> DataFrame:
     series = w.join(flooded, "target", "left_semi").groupBy("target").agg(F.sort_array(F.collect_list(needed)).alias("s"))
     hits = series.select("target", F.inline(F.aggregate("s", start, step, lambda a: a["hits"])))
     found = cut(w.join(hits, ["target", "win"]))
-    first = touched(flows, p).join(found.select("target", "win", "at"), ["target", "win"]).filter("_at = at")
-    found = found.join(first.select("target", "win", F.struct("dst_port", "proto", "flow_id", "first_ts").alias("opened")), ["target", "win"])
+    first = touched(flows, p).join(found.select("target", "win", "at"), ["target", "win"]).filter("seq = at")
+    first = first.groupBy("target", "win").agg(F.min_by(F.struct("dst_port", "proto", "flow_id", "first_ts"), "_nth").alias("opened"))
+    found = found.join(first, ["target", "win"])
     rated = F.when(F.col("by_bytes"), F.col("amp_rate") / p.amp_bytes_per_s * p.rate_z).otherwise(F.greatest("z", F.lit(0.0)))
     confidence, factors = combine([
         Signal("flow_rate_z", rated, p.rate_z, p.w_rate),
