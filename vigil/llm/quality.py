@@ -9,8 +9,9 @@ Method: lines are normalised (ASCII lower case, runs of white space to one space
 of a text count once. A line of at most ``max_line_words`` words is above the limit if it
 is in at least ``min_line_docs`` documents and more than ``max_line_pct`` percent of the host's
 documents. Such lines are removed; a document is rejected as depleted if fewer than
-``min_words`` words, or than ``min_left_pct`` percent of them, are left. (Longer lines are
-passages; a repeat of one is for near-duplicate removal to judge.)
+``min_left_words`` words, or than ``min_left_pct`` percent of them, are left, so that a short
+text of its own with a common line stays. (Longer lines are passages; a repeat of one is for
+near-duplicate removal to judge.)
 
 Nulls: a null text has no words and fails the base rules; a null host is a host of its own.
 Repeated rows get equal results; an empty table gives an empty table. The columns of the
@@ -119,6 +120,7 @@ class Rules:
     min_line_docs: int = 20
     max_line_pct: int = 10
     min_left_pct: int = 30
+    min_left_words: int = 8
 
 
 RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -164,5 +166,5 @@ def _judged(df: DataFrame, text: str, host: str, rules: Rules, held: list[F.Colu
     n = F.col("m.n_words")
     base = (n < rules.min_words) | (F.col("m.n_repeat_words") * 100 > n * rules.max_repeat_pct)
     left = n - F.coalesce("removed", F.lit(0))
-    good = ~base & (left >= rules.min_words) & (left * 100 >= n * rules.min_left_pct)
+    good = ~base & (left >= rules.min_left_words) & (left * 100 >= n * rules.min_left_pct)
     return out.select("*", *[F.col(f"m.{c}").alias(c) for c in RESULTS[:5]], base.alias("base_failed"), good.alias("kept"))

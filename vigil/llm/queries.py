@@ -271,7 +271,7 @@ measured AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
-         AND n_words - gone >= 20 AND 100 * (n_words - gone) >= 30 * n_words AS kept
+         AND n_words - gone >= 8 AND 100 * (n_words - gone) >= 30 * n_words AS kept
 FROM measured
 """
 
