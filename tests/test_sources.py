@@ -2,10 +2,9 @@ import json
 import struct
 
 import pytest
-from pyspark.sql import functions as F
 
-from vigil.operators.flowmeter import events, meter
-from vigil.operators.registry import Context, available, detect
+from vigil.operators.flowmeter import events
+from vigil.operators.registry import Context, available
 from vigil.sources import parsers
 from vigil.sources.readers import Intel, Settings, check_upload, decode_captures, decode_netflow, flows_from_json, labelled_flows, write_manifest
 
