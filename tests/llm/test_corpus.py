@@ -6,7 +6,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from vigil.llm import langid, mixing, near_dup, quality, warc
@@ -270,4 +269,3 @@ def test_all_operators_are_registered():
     names = E.queries()
     assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in (1, 2, 3, 4, 5, 6, 7, 9, 10)} and "pipeline" in names
     assert set(E.oracle_sql()) <= set(names)
-    assert F is not None
