@@ -27,8 +27,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or are depleted without the lines that their source repeats, go."""
-    return quality.keep_good(docs)
+    """Lines that their source repeats go, and so do documents that fail the base rules or are depleted without those lines."""
+    good = quality.keep_good(docs)
+    return good.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else good
 
 
 def distinct_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

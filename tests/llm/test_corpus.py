@@ -231,6 +231,15 @@ def test_line_frequency(spark):
     assert sorted(r.doc_id for r in quality.keep_good(df).collect()) == [*range(30), 100]
 
 
+def test_frequent_lines_leave_the_text(spark):
+    body = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(25))
+    rows = [(i, f"Share this {i}\n{body(i)}\n\n{body(i + 500)}\nSHARE  this 7", "h", i) for i in range(30)]
+    rows += [(i + 100, f"Share this {i}\n{body(i)}", "other", i) for i in range(15)] + [(0, rows[0][1], "h", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, kept int")
+    got = sorted(tuple(r) for r in quality.keep_good(df).collect())
+    assert got == sorted((i, f"{body(i)}\n\n{body(i + 500)}" if h == "h" else t, h, k) for i, t, h, k in rows)
+
+
 def test_quality_of_odd_rows(spark):
     df = odd(spark)
     got = quality.judge(df).collect()

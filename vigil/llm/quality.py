@@ -8,7 +8,8 @@ Method: lines are normalised (ASCII lower case, runs of white space to one space
 0) and hashed; the distinct documents of each host with a line are counted, where copies
 of a text count once. A line of at most ``max_line_words`` words is above the limit if it
 is in at least ``min_line_docs`` documents and more than ``max_line_pct`` percent of the host's
-documents. Such lines are removed; a document is rejected as depleted if fewer than
+documents. Such lines are removed: ``judge`` counts their words, ``keep_good`` returns the
+texts without them. A document is rejected as depleted if fewer than
 ``min_left_words`` words, or than ``min_left_pct`` percent of them, are left, so that a short
 text of its own with a common line stays. (Longer lines are passages; a repeat of one is for
 near-duplicate removal to judge.)
@@ -63,6 +64,18 @@ def repeat_words(words: list[bytes]) -> int:
     return int((np.cumsum(edges) > 0).sum())
 
 
+def line_code(words: list[bytes]) -> int:
+    """Hash of a normalised line."""
+    return xxhash.xxh64_intdigest(b" ".join(words).lower().translate(_DIGITS)) - (1 << 63)
+
+
+def without(text: str, gone: set[int]) -> str:
+    """The text without the lines whose hashes are in ``gone``; lines without a word stay."""
+    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+    left = [x for x in lines if not (words := x.split()) or line_code(words) not in gone]
+    return b"\n".join(left).decode("utf-8", "surrogatepass")
+
+
 def measure(text: str, max_line_words: int) -> dict:
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
@@ -75,7 +88,7 @@ def measure(text: str, max_line_words: int) -> dict:
             dups += 1
         seen.add(line)
         if len(parts) <= max_line_words:
-            code = xxhash.xxh64_intdigest(b" ".join(parts).lower().translate(_DIGITS)) - (1 << 63)
+            code = line_code(parts)
             held[code] = held.get(code, 0) + len(parts)
     return {
         "n_words": len(words),
@@ -102,6 +115,20 @@ def measures(text: str, max_line_words: int) -> F.Column:
     return run(F.col(text))
 
 
+def _without(text: F.Column, gone: F.Column) -> F.Column:
+    """Texts without the lines of ``gone``; null where either is null."""
+
+    @F.arrow_udf("string")
+
+    @frugal
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, codes in batches:
+            pairs = zip(texts.to_pylist(), codes.to_pylist(), strict=True)
+            yield pa.array([None if t is None or c is None else without(t, set(c)) for t, c in pairs], pa.string())
+
+    return run(F.when(gone.isNotNull(), text), gone)
+
+
 def _salt(*cols: str) -> F.Column:
     return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int")
 
@@ -143,12 +170,15 @@ def judge(df: DataFrame, text: str = "text", host: str = "source", rules: Rules
 
 
 def keep_good(df: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """The rows of df that the rules keep, with their columns as they are."""
-    bad = _judged(df, text, host, rules, []).filter("NOT kept").select("host", "h1", "h2").distinct()
+    """The rows of df that the rules keep, their texts without the lines above the limit; other columns as they are."""
+    judged = _judged(df, text, host, rules, []).filter("NOT kept OR gone IS NOT NULL")
+    changed = judged.groupBy("host", "h1", "h2").agg(F.first("kept").alias("kept"), F.first("gone").alias("gone"))
     names = [unused(df, f"_k{i}") for i in range(3)]
     marked = df.select("*", *[c.alias(n) for c, n in zip(_identity(text, host), names, strict=True)])
-    same = (marked[names[0]] == bad["host"]) & (marked[names[1]] == bad["h1"]) & (marked[names[2]] == bad["h2"])
-    return marked.join(bad, same, "left_anti").select(*df.columns)
+    same = (marked[names[0]] == changed["host"]) & (marked[names[1]] == changed["h1"]) & (marked[names[2]] == changed["h2"])
+    good = marked.join(changed, same, "left").filter(F.coalesce(changed["kept"], F.lit(True)))
+    clean = F.coalesce(_without(marked[text], changed["gone"]), marked[text])
+    return good.select(*[clean.alias(c) if c == text else marked[c] for c in df.columns])
 
 
 def _judged(df: DataFrame, text: str, host: str, rules: Rules, held: list[F.Column]) -> DataFrame:
@@ -160,7 +190,7 @@ def _judged(df: DataFrame, text: str, host: str, rules: Rules, held: list[F.Colu
     often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.min_line_docs)
     often = cut(often.join(hosts, "host").filter(F.col("n") * 100 > F.col("docs") * rules.max_line_pct).select("host", "line"))
     hits = lines.withColumn("salt", _salt("h1")).join(_salted(often), ["host", "line", "salt"])
-    removed = hits.groupBy("host", "h1", "h2").agg(F.sum("words").alias("removed"))
+    removed = hits.groupBy("host", "h1", "h2").agg(F.sum("words").alias("removed"), F.collect_list("line").alias("gone"))
     out = rows.withColumn("salt", _salt(*rows.columns[: len(held)]) if held else F.lit(0))
     out = out.join(_salted(removed) if held else removed.withColumn("salt", F.lit(0)), ["host", "h1", "h2", "salt"], "left")
     n = F.col("m.n_words")
