@@ -97,6 +97,18 @@ def test_articles():
     assert got == TEXT + "".join(f"\nSentence number {i} of the long body of this page." for i in range(8))
 
 
+def test_what_stands_beside_an_article():
+    lines = [[f"Sentence number {i} of part {k}, long enough to be one." for i in range(9)] for k in range(3)]
+    parts = "".join("<article>" + "".join(f"<p>{x}</p>" for x in part) + "</article>" for part in lines)
+    linked = "<div><a href=/x>More</a> <a href=/y>news</a></div>"
+    got = html_text.extract(PAGE.format(f"<main><h1>Head</h1>{parts}{linked}</main>"))
+    assert got == "\n".join(["Head", *sum(lines, [])])
+
+
+def test_only_names_of_attributes_count():
+    assert html_text.extract("""<p title="the hidden truth">a<p data-x='class="nav"'>b<p title=">" hidden>c<p title='x' class="nav">d""") == "a\nb"
+
+
 def test_odd_pages(spark):
     assert html_text.extract(None) == html_text.extract("") == html_text.extract("<script>x") == ""
     assert html_text.extract("plain &amp; <b>bold") == "plain & bold"

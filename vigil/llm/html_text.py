@@ -7,7 +7,7 @@ density: characters per tag, scaled down by the share of linked characters and l
 The node with the largest sum of its children's densities is the content; the least density
 on its path to the body is the threshold that other subtrees must reach to be content
 too. A content node inside an ``article`` (or ``main``) stands for the whole of it, so that
-headings and short paragraphs stay.
+headings and short paragraphs stay; the threshold holds for what is outside of it.
 
 Text: character references are decoded, white space in a block becomes one space, blocks are
 trimmed and joined by newlines in page order. Null and empty pages give the empty text;
@@ -72,7 +72,7 @@ _TAG = re.compile(
     r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""(?:^|[\s/"'])(class|id|role|style|hidden|aria-hidden)(?=[\s=/]|$)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _NO_MARK = re.compile(r"\b(?:with|has|no|without)[-_]\w+", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -215,14 +215,11 @@ def content(root: Node, nodes: list[Node]) -> list[Node]:
     while n is not None:
         path.append(n)
         n = n.parent
-    for kind in ("article", "main"):
-        for n in path:
-            if n.tag == kind:
-                return [n]
     if best is root:
         return [root]
     threshold = min(n.density for n in path[:-1])
-    chosen, held = [], set(map(id, path))
+    best = next((n for kind in ("article", "main") for n in path if n.tag == kind), best)
+    chosen, held = [], set(map(id, path[path.index(best) :]))
     for n in live:
         if n is best:
             chosen.append(n)
