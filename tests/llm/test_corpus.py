@@ -218,19 +218,41 @@ def test_languages_of_odd_rows(spark):
 # ---- quality
 
 
+def letters(i, n=40):
+    """n words of their own for each i, without digits (which count as 0)."""
+    return " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(n))
+
+
 def test_line_frequency(spark):
-    body = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
-    rows = [(i, f"Share this 12\n{body(i)}", "h") for i in range(30)] + [(100, "SHARE  this 34\n" + "Subscribe now\n" * 1 + "a b c d e f g h i j k l m n o p q", "h")]
-    rows += [(200 + i, "\n".join(f"menu item number {k} of many" for k in range(5)), "h") for i in range(1)] + [(300 + i, "\n".join(f"menu item number {k} of many" for k in range(5)) + f"\nend {i} {body(i)[:12]}", "h") for i in range(25)]
+    menu = "\n".join(f"menu item number {k} of many" for k in range(5))
+    rows = [(i, f"Share this 12\n{letters(i)}", "h") for i in range(30)] + [(100, "SHARE  this 34\n" + "Subscribe now\n" + "a b c d e f g h i j k l m n o p q", "h")]
+    rows += [(200, menu, "h")] + [(300 + i, f"{menu}\nend {letters(i, 4)}", "h") for i in range(25)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r for r in quality.judge(df).collect()}
     assert all(got[i].kept for i in range(30)) and got[100].kept
     assert not any(got[i].kept for i in (200, *range(300, 325)))
-    copies = spark.createDataFrame([(i, f"{body(1)[:80]}\n{body(2)}", "h") for i in range(50)], "doc_id long, text string, source string")
+    copies = spark.createDataFrame([(i, f"{letters(1, 15)}\n{letters(2)}", "h") for i in range(50)], "doc_id long, text string, source string")
     assert quality.judge(copies).filter("kept").count() == 50
     assert sorted(r.doc_id for r in quality.keep_good(df).collect()) == [*range(30), 100]
 
 
+@pytest.mark.parametrize("words", [30, 40, 60, 3000])
+def test_long_lines_are_counted_too(spark, words):
+    footer = letters(650, words)
+    rows = [(i, f"{footer}\n{letters(i, 5)}", "small") for i in range(60)] + [(100 + i, f"{letters(i, 2 * words)}\n{footer}", "mixed") for i in range(60)]
+    rows += [(200 + i, f"{footer}\n{letters(i, 5)}", "other") for i in range(19)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in quality.judge(df).filter("kept").collect()) == [*range(100, 160), *range(200, 219)]
+    assert {r.doc_id: r.text for r in quality.keep_good(df).collect()} == {i: letters(i - 100, 2 * words) if i < 200 else t for i, t, _ in rows if i >= 100}
+
+
+def test_hot_lines_and_texts(spark):
+    rows = [(i, f"common line\n{letters(i % 600, 30)}", "h") for i in range(3000)] + [(5000 + i, f"common line\n{letters(650, 25)}", "h") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id: r.text for r in quality.keep_good(df).collect()} == {i: t.split("\n")[1] for i, t, _ in rows}
+    assert quality.judge(df).filter("kept AND n_words IN (32, 27)").count() == 6000
+
+
 def test_frequent_lines_leave_the_text(spark):
     body = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(25))
     rows = [(i, f"Share this {i}\n{body(i)}\n\n{body(i + 500)}\nSHARE  this 7", "h", i) for i in range(30)]

@@ -21,10 +21,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (local tests) is one made here.
+    Only where ``spark.checkpoint.dir`` is unset and everything runs in one process is one made here; a
+    cluster without the setting is an error, as its executors would not see a folder of the driver's.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the executors of {master} share")
         named = Path(tempfile.gettempdir(), f"vigil-shared-{os.getpid()}").as_uri()
         spark.conf.set("spark.checkpoint.dir", named) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     sc = spark.sparkContext
@@ -52,13 +56,54 @@ def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
+#: Folders of intermediate tables that this process has made and not deleted.
+_MADE: list[str] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new place for an intermediate table in the shared folder, until sweep() deletes it."""
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
     """df as a Parquet table in the shared folder; its known size lets Spark broadcast it only where it is small."""
-    where = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    where = new_folder(df.sparkSession, name)
     df.write.parquet(where)
     return df.sparkSession.read.parquet(where)
 
 
+def sweep(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete the intermediate tables made so far, but for those that ``keep`` reads; nothing else may still be read lazily."""
+    held = keep.inputFiles() if keep is not None else []
+    for where in [w for w in _MADE if not any(f"/{w.rsplit('/', 1)[-1]}/" in f for f in held)]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _MADE.remove(where)
+
+
+#: A key is hot if it holds more than one in so many rows, so there are fewer hot keys than this.
+HOT_SHARE = 2_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows_of: str, total: int, spread: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right, which has a row for each key; only hot keys are salted.
+
+    ``rows_of`` is right's column with the number of left's rows of a key, ``total`` the number of all of
+    left's rows. There are fewer than HOT_SHARE hot keys whatever the size of the data, so their
+    numbers of salts are broadcast, and right grows by less than twice HOT_SHARE rows. Left's rows of a hot key are dealt by a
+    hash of the columns ``spread``. Keys must not be null.
+    """
+    salts, salt = unused(left, "_salts"), unused(left, "_salt")
+    hot = right.filter(F.col(rows_of) * HOT_SHARE > total).select(*keys, F.ceil(F.col(rows_of) * HOT_SHARE / F.lit(max(1, total))).cast("int").alias(salts))
+    hot = F.broadcast(hot)
+    kinds = dict(left.dtypes)
+    by = F.xxhash64(*[c for c in spread if "map<" not in kinds[c] and "variant" not in kinds[c]])
+    dealt = left.join(hot, keys, "left").withColumn(salt, F.pmod(by, F.coalesce(salts, F.lit(1))).cast("int")).drop(salts)
+    copied = right.join(hot, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1))).drop(salts)
+    return dealt.join(copied, [*keys, salt], how).drop(salt)
+
+
 #: Bytes on disk up to which a table of stored() may be broadcast.
 BROADCAST_BYTES = 32 << 20
 

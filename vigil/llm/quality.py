@@ -5,14 +5,14 @@ Base rules: a document fails with fewer than ``min_words`` words, or if more tha
 more.
 
 Method: lines are normalised (ASCII lower case, runs of white space to one space, digits to
-0) and hashed; the distinct documents of each host with a line are counted, where copies
-of a text count once. A line of at most ``max_line_words`` words is above the limit if it
-is in at least ``min_line_docs`` documents and more than ``max_line_pct`` percent of the host's
-documents. Such lines are removed: ``judge`` counts their words, ``keep_good`` returns the
-texts without them. A document is rejected as depleted if fewer than
-``min_left_words`` words, or than ``min_left_pct`` percent of them, are left, so that a short
-text of its own with a common line stays. (Longer lines are passages; a repeat of one is for
-near-duplicate removal to judge.)
+0) and hashed, whatever their length; the distinct documents of each host with a line are
+counted, where copies of a text count once. A line that is in ``line_docs`` documents of its
+host or more is above the limit, in hosts of any size. Such lines are removed: ``judge`` counts
+their words, ``keep_good`` returns the texts without them. A document is rejected as depleted if
+fewer than ``min_left_words`` words, or than ``min_left_pct`` percent of them, are left.
+
+Lines that hold a large part of all lines, and texts that hold a large part of all rows, are
+salted by their measured counts; no other row is copied.
 
 Nulls: a null text has no words and fails the base rules; a null host is a host of its own.
 Repeated rows get equal results; an empty table gives an empty table. The columns of the
@@ -30,13 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import bounded_batches, cut, frugal, unused
+from vigil.llm.common import bounded_batches, cut, frugal, spread_join, unused
 
 WINDOW = 8
 SPACES = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
-SALTS = 32
 
 MEASURES = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,lines:array<struct<line:bigint,words:int>>>"
 
@@ -76,7 +75,7 @@ def without(text: str, gone: set[int]) -> str:
     return b"\n".join(left).decode("utf-8", "surrogatepass")
 
 
-def measure(text: str, max_line_words: int) -> dict:
+def measure(text: str) -> dict:
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     lines, held, seen, dups = raw.split(b"\n"), {}, set(), 0
@@ -87,9 +86,8 @@ def measure(text: str, max_line_words: int) -> dict:
         if line in seen:
             dups += 1
         seen.add(line)
-        if len(parts) <= max_line_words:
-            code = line_code(parts)
-            held[code] = held.get(code, 0) + len(parts)
+        code = line_code(parts)
+        held[code] = held.get(code, 0) + len(parts)
     return {
         "n_words": len(words),
         "word_chars": len(text) - sum(map(text.count, SPACES)),
@@ -100,17 +98,16 @@ def measure(text: str, max_line_words: int) -> dict:
     }
 
 
-def measures(text: str, max_line_words: int) -> F.Column:
+def measures(text: str) -> F.Column:
     """The base measures and hashed lines of a text column."""
 
     @F.arrow_udf(MEASURES)
-
     @frugal
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lines = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32())]))
         kind = pa.struct([*((k, pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("lines", lines)])
         for texts in batches:
-            yield pa.array([measure(t or "", max_line_words) for t in texts.to_pylist()], kind)
+            yield pa.array([measure(t or "") for t in texts.to_pylist()], kind)
 
     return run(F.col(text))
 
@@ -119,7 +116,6 @@ def _without(text: F.Column, gone: F.Column) -> F.Column:
     """Texts without the lines of ``gone``; null where either is null."""
 
     @F.arrow_udf("string")
-
     @frugal
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, codes in batches:
@@ -129,28 +125,19 @@ def _without(text: F.Column, gone: F.Column) -> F.Column:
     return run(F.when(gone.isNotNull(), text), gone)
 
 
-def _salt(*cols: str) -> F.Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int")
-
-
-def _salted(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
 @dataclass(frozen=True)
 class Rules:
     """Limits of the rules; see the module's notes."""
 
     min_words: int = 20
     max_repeat_pct: int = 30
-    max_line_words: int = 30
-    min_line_docs: int = 20
-    max_line_pct: int = 10
+    line_docs: int = 20
     min_left_pct: int = 30
     min_left_words: int = 8
 
 
 RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+IDENTITY = ["host", "h1", "h2"]
 
 
 def _identity(text: str, host: str) -> list[F.Column]:
@@ -165,36 +152,43 @@ def judge(df: DataFrame, text: str = "text", host: str = "source", rules: Rules
     row, so that the text is read and measured once. Existing columns named like a result are dropped.
     """
     keep = [c for c in (keep if keep is not None else df.columns) if c != text and c not in RESULTS]
-    judged = _judged(df, text, host, rules, [F.col(c).alias(f"c{i}") for i, c in enumerate(keep)])
+    rows, verdicts, n_rows = _verdicts(df, text, host, rules, [F.col(c).alias(f"c{i}") for i, c in enumerate(keep)])
+    held = rows.columns[: len(keep)]
+    judged = spread_join(rows.drop("m"), verdicts.drop("gone"), IDENTITY, "copies", n_rows, held or IDENTITY)
     return judged.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *RESULTS)
 
 
 def keep_good(df: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
     """The rows of df that the rules keep, their texts without the lines above the limit; other columns as they are."""
-    judged = _judged(df, text, host, rules, []).filter("NOT kept OR gone IS NOT NULL")
-    changed = judged.groupBy("host", "h1", "h2").agg(F.first("kept").alias("kept"), F.first("gone").alias("gone"))
+    _, verdicts, n_rows = _verdicts(df, text, host, rules, [])
     names = [unused(df, f"_k{i}") for i in range(3)]
+    verdict, copies = unused(df, "_verdict"), unused(df, "_copies")
+    changed = verdicts.filter("NOT kept OR gone IS NOT NULL")
+    changed = changed.select(*[F.col(c).alias(n) for c, n in zip(IDENTITY, names, strict=True)], F.struct("kept", "gone").alias(verdict), F.col("copies").alias(copies))
     marked = df.select("*", *[c.alias(n) for c, n in zip(_identity(text, host), names, strict=True)])
-    same = (marked[names[0]] == changed["host"]) & (marked[names[1]] == changed["h1"]) & (marked[names[2]] == changed["h2"])
-    good = marked.join(changed, same, "left").filter(F.coalesce(changed["kept"], F.lit(True)))
-    clean = F.coalesce(_without(marked[text], changed["gone"]), marked[text])
-    return good.select(*[clean.alias(c) if c == text else marked[c] for c in df.columns])
+    good = spread_join(marked, changed, names, copies, n_rows, df.columns, "left")
+    good = good.filter(F.coalesce(F.col(f"{verdict}.kept"), F.lit(True)))
+    clean = F.coalesce(_without(F.col(text), F.col(f"{verdict}.gone")), F.col(text))
+    return good.select(*[clean.alias(c) if c == text else F.col(c) for c in df.columns])
 
 
-def _judged(df: DataFrame, text: str, host: str, rules: Rules, held: list[F.Column]) -> DataFrame:
+def _verdicts(df: DataFrame, text: str, host: str, rules: Rules, held: list[F.Column]) -> tuple[DataFrame, DataFrame, int]:
+    """The rows of df (``held``, identity, measures), a verdict for each distinct text of a host, and the number of rows.
+
+    A verdict has the text's measures, what the rules say, its frequent lines and the number of rows with it.
+    """
     bounded_batches(df.sparkSession)
-    rows = cut(df.select(*held, *_identity(text, host), measures(text, rules.max_line_words).alias("m")))
-    texts = cut(rows.groupBy("host", "h1", "h2").agg(F.first("m.lines").alias("lines")))
-    hosts = texts.groupBy("host").agg(F.count("*").alias("docs"))
-    lines = texts.select("host", "h1", "h2", F.inline("lines"))
-    often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.min_line_docs)
-    often = cut(often.join(hosts, "host").filter(F.col("n") * 100 > F.col("docs") * rules.max_line_pct).select("host", "line"))
-    hits = lines.withColumn("salt", _salt("h1")).join(_salted(often), ["host", "line", "salt"])
-    removed = hits.groupBy("host", "h1", "h2").agg(F.sum("words").alias("removed"), F.collect_list("line").alias("gone"))
-    out = rows.withColumn("salt", _salt(*rows.columns[: len(held)]) if held else F.lit(0))
-    out = out.join(_salted(removed) if held else removed.withColumn("salt", F.lit(0)), ["host", "h1", "h2", "salt"], "left")
+    rows = cut(df.select(*held, *_identity(text, host), measures(text).alias("m")))
+    texts = cut(rows.groupBy(*IDENTITY).agg(F.first("m").alias("m"), F.count("*").alias("copies")))
+    n_rows, n_lines = texts.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum(F.size("m.lines")), F.lit(0))).first()
+    lines = texts.select(*IDENTITY, F.inline("m.lines"))
+    often = cut(lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= rules.line_docs))
+    hits = spread_join(lines, often, ["host", "line"], "n", n_lines, ["h1", "h2"])
+    removed = hits.groupBy(*IDENTITY).agg(F.sum("words").alias("removed"), F.collect_list("line").alias("gone"))
     n = F.col("m.n_words")
     base = (n < rules.min_words) | (F.col("m.n_repeat_words") * 100 > n * rules.max_repeat_pct)
     left = n - F.coalesce("removed", F.lit(0))
     good = ~base & (left >= rules.min_left_words) & (left * 100 >= n * rules.min_left_pct)
-    return out.select("*", *[F.col(f"m.{c}").alias(c) for c in RESULTS[:5]], base.alias("base_failed"), good.alias("kept"))
+    out = texts.join(removed, IDENTITY, "left")
+    out = out.select(*IDENTITY, "copies", *[F.col(f"m.{c}").alias(c) for c in RESULTS[:5]], base.alias("base_failed"), good.alias("kept"), "gone")
+    return rows, cut(out), n_rows

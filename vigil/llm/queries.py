@@ -255,11 +255,8 @@ dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE le
 marked AS (
   SELECT doc_id, host, text, len(parts) AS n,
          translate(array_to_string(parts, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS norm
-  FROM lines WHERE len(parts) BETWEEN 1 AND 30),
-hosts AS (SELECT host, count(DISTINCT text) AS docs FROM docs GROUP BY host),
-often AS (
-  SELECT host, norm FROM (SELECT host, norm, count(DISTINCT text) AS n FROM marked GROUP BY host, norm) JOIN hosts USING (host)
-  WHERE n >= 20 AND n * 100 > docs * 10),
+  FROM lines WHERE len(parts) > 0),
+often AS (SELECT host, norm FROM marked GROUP BY host, norm HAVING count(DISTINCT text) >= 20),
 removed AS (SELECT doc_id, sum(n) AS n FROM marked SEMI JOIN often USING (host, norm) GROUP BY doc_id),
 measured AS (
   SELECT d.doc_id, len(words)::BIGINT AS n_words,
