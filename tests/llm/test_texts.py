@@ -105,6 +105,82 @@ def test_what_stands_beside_an_article():
     assert got == "\n".join(["Head", *sum(lines, [])])
 
 
+LINES = [f"Sentence number {i} of the body, which is long enough to be text." for i in range(6)]
+BODY = "<h1>Head</h1>" + "".join(f"<p>{x}</p>" for x in LINES)
+MENU = "<div><ul><li><a href=/>Home</a></li><li><a href=/b>About us</a></li></ul></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body>{MENU}<div class='layout sidebar-right'><article>{BODY}</article></div><footer>x</footer>",
+        f"<body><form id='aspnetForm'>{MENU}<article>{BODY}</article><footer>f</footer></form>",
+        f"<body>{MENU}<article><div class='post social-science'>{BODY}</div></article>",
+        f"<body>{MENU}<article>{BODY.replace('<p>Sentence number 2', '<p id=comment-on-law>Sentence number 2')}</article>",
+        f"<body>{MENU}<article>{BODY}<div><a href=/1>More</a> | <a href=/2>news</a></div></article>",
+        f"<body>{MENU}<div>{BODY}</div><div>All rights reserved, 2020</div>",
+        f"<body><div>{MENU}<div><div>{BODY}</div></div><div><a href=/1>One more thing</a> <a href=/2>And another one</a></div></div>",
+        f"<body>{MENU}<article>{BODY}<section class=comments>{''.join(f'<p>Reader {i} says that this was a good text.</p>' for i in range(9))}</section></article>",
+    ],
+)
+def test_marks_weigh_and_density_decides(page):
+    assert html_text.extract(page) == "\n".join(["Head", *LINES])
+
+
+def test_headings_with_unlucky_ids():
+    page = f"<body>{MENU}<article>{BODY}<h2 id='related-work'>Related work</h2><p>A few words.</p></article>"
+    assert html_text.extract(page) == "\n".join(["Head", *LINES, "Related work", "A few words."])
+
+
+def test_without_density_the_result_is_another(monkeypatch):
+    page = f"<body>{MENU}<div>{BODY}</div><div>All rights reserved, 2020</div>"
+    assert html_text.extract(page) == "\n".join(["Head", *LINES])
+    monkeypatch.setattr(html_text, "density", lambda *a: 1.0)
+    assert html_text.extract(page) != "\n".join(["Head", *LINES])
+
+
+def test_densities_against_the_plain_formula():
+    """Counts by walking below every node, then the formula and the choice of the largest sum."""
+    rnd = random.Random(2)
+    tags = ["div", "p", "a", "ul", "li", "nav", "section", "b", "div class=ad", "div class=social-science", "script"]
+
+    def markup(depth):
+        out = rnd.choice(["", "word ", "some more words of text, "]) * rnd.randint(0, 9)
+        for _ in range(rnd.randint(0, 4) if depth < 5 else 0):
+            t = rnd.choice(tags)
+            out += f"<{t}>{markup(depth + 1)}</{t.split()[0]}>"
+        return out
+
+    def shown(n):
+        return [k for k in n.kids if type(k) is not str and not k.dropped]
+
+    def below(n):
+        return [x for k in shown(n) for x in (k, *below(k))]
+
+    def chars(n):
+        return sum(len(k.strip()) for x in (n, *below(n)) for k in x.kids if type(k) is str)
+
+    def shade(n):
+        own = 1.0 if n.tag == "a" or n.mark == html_text.STRONG else 0.5 if n.mark == html_text.WEAK else 0.0
+        return max(own, shade(n.parent)) if n.parent else own
+
+    def linked(n):
+        return sum(len(k.strip()) * shade(x) for x in (n, *below(n)) for k in x.kids if type(k) is str)
+
+    for _ in range(60):
+        root, nodes = html_text.parse(f"<body>{markup(0)}")
+        html_text.measure(nodes)
+        part = linked(root) / max(1, chars(root))
+        for n in (x for x in nodes if not x.dropped):
+            c, t, lc, lt = chars(n), max(1, len(below(n))), linked(n), sum(map(shade, below(n)))
+            want = 0.0
+            if c and (ratio := c / max(1, lc) * t / min(t, max(1, lt))) > 1:
+                base = np.log(c / max(1, c - lc) * lc + part * c + np.e)
+                want = c / t * np.log(ratio) / max(1.0, np.log(base))
+            assert n.density == pytest.approx(want)
+            assert n.sum == pytest.approx(sum(k.density for k in shown(n)))
+
+
 def test_only_names_of_attributes_count():
     assert html_text.extract("""<p title="the hidden truth">a<p data-x='class="nav"'>b<p title=">" hidden>c<p title='x' class="nav">d""") == "a\nb"
 

@@ -1,13 +1,22 @@
 """Main text of web pages by composite text density.
 
-A tolerant parser builds a tree from the markup. Elements that are no part of an article by
-their kind, role or class name (menus, page headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments, hidden parts) are left out. Every other node gets a
-density: characters per tag, scaled down by the share of linked characters and linked tags.
-The node with the largest sum of its children's densities is the content; the least density
-on its path to the body is the threshold that other subtrees must reach to be content
-too. A content node inside an ``article`` (or ``main``) stands for the whole of it, so that
-headings and short paragraphs stay; the threshold holds for what is outside of it.
+A tolerant parser builds a tree from the markup. What a browser does not show (scripts, styles,
+form controls, hidden parts) is left out. Every other node gets a composite density: characters
+per tag, times a logarithm that falls with the share of linked characters and linked tags. The node
+with the largest sum of its children's densities is the content; the least density on its path
+to the body is the threshold that other subtrees must reach to be content too.
+
+Marks weigh on the densities, they do not decide. All characters of a strongly marked element (a
+menu, footer or sidebar by its kind or role, or a class name made of nothing but words such as
+``ad`` or ``cookie-notice``) count as linked, and half of those of a weakly marked one (a form, or a
+class name with such a word among others). A mark is void where the element holds most of the
+text of its article or page (over 90 % if strong, half if weak), so a wrapper with an unlucky name
+loses nothing. Inside the content, strongly marked elements go, weakly marked ones go if their
+density is below the threshold, and so do rows of two links or more without other text.
+
+If the largest sum is that of a paragraph or of less, the element around it is the content; a content
+node inside an ``article`` (or ``main``) stands for the whole of it, so that headings and short
+paragraphs stay. An ``h1`` that is not marked is always content.
 
 Text: character references are decoded, white space in a block becomes one space, blocks are
 trimmed and joined by newlines in page order. Null and empty pages give the empty text;
@@ -50,12 +59,15 @@ SIBLINGS = {
     "option": ({"option"}, {"select"}),
 }
 SCOPE = frozenset("html table caption td th button object template marquee".split())
+#: What is never shown as text.
 DROPPED = frozenset(
-    "head script style noscript template title nav footer aside form button select option optgroup datalist input textarea iframe "
-    "frame frameset object embed applet canvas svg math audio video map dialog menu link meta xmp noembed noframes".split()
+    "head script style noscript template title button select option optgroup datalist input textarea iframe "
+    "frame frameset object embed applet canvas svg math audio video map link meta xmp noembed noframes".split()
 )
+#: Elements that are no part of an article by their kind; ``header`` is one outside of article and main.
+APART = frozenset("nav footer aside dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar alert dialog alertdialog form".split())
-#: Parts of class names and ids that mark what is no article.
+#: Words of class names and ids that mark what is no article.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adbox adslot adsense sponsor sponsored sponsors promo "
     "promotion banner nav navbar navigation topnav sidenav menu submenu breadcrumb breadcrumbs sidebar aside footer colophon "
@@ -63,9 +75,18 @@ MARKS = frozenset(
     "newsletter subscribe subscription signup login social share sharing related recommended recommendations widget widgets "
     "pagination pager toolbar masthead".split()
 )
-#: The same, only outside of article and main.
+#: Words that say nothing beside a mark: ``ad-box`` is an advert, ``social-science`` is not.
+FILLERS = frozenset("area bar block box container content group inner list main notice outer panel section site top unit wrap wrapper".split())
+#: Marks only outside of article and main.
 PAGE_MARKS = frozenset("header topbar".split())
-NEVER = frozenset("html body main article".split())
+NEVER = frozenset("html body main".split())
+#: Elements whose ids are made from their text, to link to them.
+ANCHORS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd a span figure table tr td".split())
+#: What can be the content as a whole.
+HOLDERS = frozenset("body article main section div td th center form fieldset details figure".split())
+WEAK, STRONG = 1, 2
+#: Shares of the text of an element's article or page above which a mark on it is void.
+VOID_SHARE = {WEAK: 0.5, STRONG: 0.9}
 
 _TAG = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"""
@@ -79,38 +100,47 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "sum", "in_article")
+    __slots__ = ("tag", "parent", "kids", "dropped", "mark", "scope", "own", "chars", "tags", "links", "linked", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.kids, self.dropped = tag, parent, [], False
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.sum = 0.0
-        self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
-
-
-def _marked(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is boilerplate by its kind or attributes."""
-    if tag in DROPPED or (tag == "header" and not in_article):
-        return True
-    if tag in NEVER or not attributes:
-        return False
-    for m in _ATTRIBUTE.finditer(attributes):
+        self.tag, self.parent, self.kids, self.dropped, self.mark = tag, parent, [], False, 0
+        #: the article, main or page that the node is in
+        self.scope = self if parent is None else parent if parent.tag in ("article", "main") else parent.scope
+        self.own = self.chars = self.tags = self.links = 0
+        self.linked = self.link_chars = self.link_tags = self.density = self.sum = 0.0
+
+
+def _named(value: str, in_article: bool) -> int:
+    """The mark of a class or id attribute."""
+    mark = 0
+    for token in _NO_MARK.sub("", value).split():
+        parts = {x for x in _SPLIT.split(_CAMEL.sub("-", token).lower()) if x}
+        words = parts & MARKS if in_article else parts & (MARKS | PAGE_MARKS)
+        if words:
+            mark = max(mark, STRONG if parts - words <= FILLERS else WEAK)
+    return mark
+
+
+def _marked(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
+    """Whether an element is never shown, and its mark."""
+    if tag in DROPPED:
+        return True, 0
+    mark = STRONG if tag in APART or (tag == "header" and not in_article) else WEAK if tag == "form" else 0
+    for m in _ATTRIBUTE.finditer(attributes) if attributes and tag not in NEVER else ():
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return True, 0
         if name == "style" and "display:none" in value.lower().replace(" ", ""):
-            return True
+            return True, 0
         if name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id"):
-            parts = set(_SPLIT.split(_CAMEL.sub("-", _NO_MARK.sub("", value)).lower()))
-            if parts & MARKS or (not in_article and parts & PAGE_MARKS):
-                return True
-    return False
+            mark = STRONG
+        elif name == "class" or (name == "id" and tag not in ANCHORS):
+            mark = max(mark, _named(value, in_article))
+    return False, mark
 
 
 def parse(html: str) -> tuple[Node, list[Node]]:
-    """The root and all nodes in page order; boilerplate is marked as dropped."""
+    """The root and all nodes in page order."""
     root = Node("body", None)
     nodes, now, at = [root], root, 0
     opened: dict[str, int] = {}  # open elements by tag, so that no search climbs for what isn't open
@@ -165,7 +195,8 @@ def parse(html: str) -> tuple[Node, list[Node]]:
             if last is not None:
                 now = close(last)
         node = Node(tag, now)
-        node.dropped = now.dropped or _marked(tag, attributes or "", now.in_article)
+        node.dropped, node.mark = _marked(tag, attributes or "", node.scope is not root)
+        node.dropped |= now.dropped
         now.kids.append(node)
         nodes.append(node)
         if tag in RAW:
@@ -178,56 +209,78 @@ def parse(html: str) -> tuple[Node, list[Node]]:
 
 
 def measure(nodes: list[Node]) -> None:
-    """Densities and sums of all nodes that aren't dropped (page order: parents come first)."""
-    for n in reversed(nodes):
-        if n.dropped:
-            continue
-        n.chars += sum(len(k.strip()) for k in n.kids if type(k) is str)
-        if n.tag == "a":
-            n.link_chars, n.link_tags = n.chars, n.tags + 1
+    """Densities and sums of all nodes that are shown (page order: parents come first); marks that are void are taken off."""
+    shown = [n for n in nodes if not n.dropped]
+    for n in reversed(shown):
+        n.own = sum(len(k.strip()) for k in n.kids if type(k) is str)
+        n.chars += n.own
+        if n.parent is not None:
+            n.parent.chars += n.chars
+            n.parent.tags += n.tags + 1
+            n.parent.links += n.links + (n.tag == "a")
+    for n in shown:
+        if n.mark and n.chars > VOID_SHARE[n.mark] * n.scope.chars:
+            n.mark = 0
+        n.linked = max(n.parent.linked if n.parent is not None else 0.0, 1.0 if n.tag == "a" or n.mark == STRONG else 0.5 if n.mark == WEAK else 0.0)
+    for n in reversed(shown):
+        n.link_chars += n.linked * n.own
         if n.parent is not None:
-            p = n.parent
-            p.chars += n.chars
-            p.tags += n.tags + 1
-            p.link_chars += n.link_chars
-            p.link_tags += n.link_tags
+            n.parent.link_chars += n.link_chars
+            n.parent.link_tags += n.link_tags + n.linked
     whole = nodes[0]
     linked = whole.link_chars / max(1, whole.chars)
-    for n in nodes:
-        if n.dropped or not n.chars:
-            continue
-        # exp(e) keeps the logarithm of the logarithm at 1 or more where nothing is linked
-        spread = n.chars / max(1, n.chars - n.link_chars) * n.link_chars + linked * n.chars + math.exp(math.e)
-        plain = n.chars / max(1, n.link_chars) * max(1, n.tags) / max(1, n.link_tags)
-        n.density = n.chars / max(1, n.tags) * math.log(1 + plain) / math.log(math.log(spread))
+    for n in shown:
+        n.density = density(n.chars, n.tags, n.link_chars, n.link_tags, linked)
         if n.parent is not None:
             n.parent.sum += n.density
 
 
-def content(root: Node, nodes: list[Node]) -> list[Node]:
-    """The subtrees that are the page's article."""
+def density(chars: int, tags: int, link_chars: float, link_tags: float, linked: float) -> float:
+    """Composite density of a node; ``linked`` is the share of linked characters of the page."""
+    if not chars:
+        return 0.0
+    tags = max(1, tags)
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + linked * chars + math.e)
+    plain = chars / max(1, link_chars) * tags / min(tags, max(1, link_tags))
+    return chars / tags * math.log(plain) / max(1.0, math.log(base)) if plain > 1 else 0.0
+
+
+def content(root: Node, nodes: list[Node]) -> tuple[list[Node], float]:
+    """The subtrees that are the page's article, and the threshold."""
     measure(nodes)
     live = [n for n in nodes if not n.dropped and n.chars]
     if not live:
-        return []
-    best = max(live, key=lambda n: n.sum or n.density * 1e-9)
+        return [], 0.0
+    best = max(live, key=lambda n: n.sum)
+    while best.tag not in HOLDERS:
+        best = best.parent
     path, n = [], best
     while n is not None:
         path.append(n)
         n = n.parent
     if best is root:
-        return [root]
+        return [root], min(n.density for n in live if n.parent in (None, root))
     threshold = min(n.density for n in path[:-1])
     best = next((n for kind in ("article", "main") for n in path if n.tag == kind), best)
     chosen, held = [], set(map(id, path[path.index(best) :]))
+    away = set()  # inside of what is strongly marked
     for n in live:
-        if n is best:
+        if n.mark == STRONG or id(n.parent) in away:
+            away.add(id(n))
+        elif n is best:
             chosen.append(n)
-        elif id(n) not in held and id(n.parent) in held and n.parent is not best and n.density >= threshold and 2 * n.link_chars <= n.chars:
+        elif id(n) not in held and id(n.parent) in held and n.parent is not best and n.density >= threshold > 0:
             chosen.append(n)
         elif n.tag == "h1" and id(n) not in held and not _under(n, chosen):
             chosen.append(n)
-    return [n for n in chosen if not _under(n.parent, chosen)]
+    return [n for n in chosen if not _under(n.parent, chosen)], threshold
+
+
+def aside(n: Node, threshold: float) -> bool:
+    """Whether a node inside the content is no part of it."""
+    if n.mark:
+        return n.mark == STRONG or n.density < threshold
+    return n.tag in BLOCK and n.links > 1 and 5 * n.link_chars >= 4 * n.chars
 
 
 def _under(n: Node | None, tops: list[Node]) -> bool:
@@ -238,7 +291,7 @@ def _under(n: Node | None, tops: list[Node]) -> bool:
     return False
 
 
-def blocks(top: Node) -> Iterator[str]:
+def blocks(top: Node, threshold: float = 0.0) -> Iterator[str]:
     """Texts of the blocks below a node, in page order."""
     line: list[str] = []
     stack: list = [top]
@@ -249,7 +302,7 @@ def blocks(top: Node) -> Iterator[str]:
             line.clear()
         elif type(k) is str:
             line.append(unescape(k) if "&" in k else k)
-        elif not k.dropped:
+        elif not k.dropped and not aside(k, threshold):
             block = k.tag in BLOCK
             if block:
                 yield "".join(line)
@@ -268,8 +321,9 @@ def extract(html: str | None) -> str:
         return ""
     root, nodes = parse(html)
     out = []
-    for top in content(root, nodes):
-        for b in blocks(top):
+    tops, threshold = content(root, nodes)
+    for top in tops:
+        for b in blocks(top, threshold):
             b = " ".join(b.split())
             if b:
                 out.append(b)
@@ -281,7 +335,6 @@ def extract_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFr
     bounded_batches(df.sparkSession)
 
     @F.arrow_udf("string")
-
     @frugal
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for pages in batches:
