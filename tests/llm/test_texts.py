@@ -50,6 +50,28 @@ def test_symbol_joins_on_random_words():
         assert [i for i, _ in e._symbols(w, 0, len(w))] == e.tok.encode(w, add_special_tokens=False).ids
 
 
+@settings(max_examples=150, deadline=None)
+@given(text=st.lists(st.sampled_from([*ALPHABET, "x" * 90, "=" * 200, "ab" * 60]), max_size=60).map("".join))
+def test_units_apart_equal_library(small_encoder, text):
+    e = small_encoder
+    units = [(*u, *e.unit(u[3], u[4])) for u in e.units(text)]
+    assert np.frombuffer(e.join_units(units), np.int32).tolist() == e.tok.encode(text, add_special_tokens=False).ids
+    assert all(len(u[4]) <= e.leaf_chars for u in units if u[3] != bpe.RUN)
+
+
+def test_an_unsplit_run_is_spread(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(5)
+    runs = ["".join(rnd.choice("abcdefgh") for _ in range(300_000)), "<|endoftext|>" + "é=" * 50_000]
+    df = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")
+    units = bpe.spread_units(df, WORD, "text").filter(f"kind = {bpe.OPEN}").withColumn("task", F.spark_partition_id())
+    assert units.filter("c0 = 0").select("task").distinct().count() > 1 and units.filter("c0 = 0").count() > 60
+    tok = bpe.TreeEncoder(WORD).tok
+    for r in bpe.encode(df, WORD).collect():
+        assert r.text == runs[r.doc_id] and r.bpe.ids == tok.encode(r.text, add_special_tokens=False).ids
+
+
 def test_encode_column(spark):
     df = odd_rows(spark)
     rows = bpe.encode(df, WORD, spread_chars=1000, leaf_chars=500).collect()

@@ -1,9 +1,9 @@
 """BPE encoding and decoding by tree concatenation.
 
 A long text is halved until a leaf is small. Leaves are encoded independently (in
-parallel tasks for texts above ``spread_chars``) and joined pairwise up the tree: at
-each join a window around the cut is encoded anew and grown until its first tokens
-agree with the left side and its last tokens with the right side.
+parallel tasks for texts above ``spread_chars``, where the halves of an unsplit run are rows of their
+own too) and joined pairwise up the tree: at each join a window around the cut is encoded anew and
+grown until its first tokens agree with the left side and its last tokens with the right side.
 
 Two kinds of joins keep the result equal to the library's encoding of the whole text:
 
@@ -30,6 +30,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,10 @@ from pyspark.sql import functions as F
 
 from vigil.llm.common import bounded_batches, frugal
 
-LEAF_CHARS = 16_384
+LEAF_CHARS = 4_096
 SPREAD_CHARS = 65_536
+#: Kinds of units: a leaf of text, a special token, symbols up to the end of a piece, symbols before others, and a run's own text.
+TEXT, SPECIAL, CLOSED, OPEN, RUN = range(5)
 #: Entries of the memo of white-space-free chunks that a worker keeps; beyond it the memo starts again.
 MEMO_ENTRIES = 200_000
 
@@ -171,7 +174,7 @@ class TreeEncoder:
         return min(near, key=lambda p: abs(p - mid)) if near else None
 
     def span(self, text: str, lo: int, hi: int) -> bytes:
-        """Encoding of one of the spans of cuts() taken alone; beyond the leaf size it is an unsplit run."""
+        """Encoding of one of the spans of cuts(); beyond the leaf size it is an unsplit run."""
         part = text[lo:hi]
         return self.leaf(part) if len(part) <= self.leaf_chars else self.run(part)
 
@@ -214,45 +217,106 @@ class TreeEncoder:
 
     def run(self, run: str) -> bytes:
         """Encoding of a run without anchors: special tokens, then normalisation, splitting and symbol joins."""
-        out, at = [], 0
+        out = []
+        for special, piece in self.pieces(run):
+            ids = [self.tok.token_to_id(piece)] if special else [i for i, _ in self._symbols(piece, 0, len(piece))]
+            out.append(np.array(ids, np.int32).tobytes())
+        return b"".join(out)
+
+    def pieces(self, run: str) -> Iterator[tuple[bool, str]]:
+        """The special tokens of a run (True) and its normalised pieces (False), in order."""
+        at = 0
         for m in self._special.finditer(run) if self._special else ():
-            out += [self._pieces(run[at : m.start()]), np.array([self.tok.token_to_id(m[0])], np.int32).tobytes()]
+            yield from self._split(run[at : m.start()])
+            yield True, m[0]
             at = m.end()
-        return b"".join([*out, self._pieces(run[at:])])
+        yield from self._split(run[at:])
 
-    def _pieces(self, run: str) -> bytes:
+    def _split(self, run: str) -> Iterator[tuple[bool, str]]:
         if not run:
-            return b""
+            return
         if self.tok.normalizer is not None:
             run = self.tok.normalizer.normalize_str(run)
-        out = []
         for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(run) if self.tok.pre_tokenizer else [(run, None)]:
-            out.append(np.array([i for i, _ in self._symbols(piece, 0, len(piece))], np.int32).tobytes())
-        return b"".join(out)
+            yield False, piece
 
-    def _model(self, piece: str, lo: int, hi: int) -> list[tuple[int, int]]:
-        """(id, length in symbols) of piece[lo:hi]; only the piece's own end gets the end-of-word mark."""
-        closed = hi == len(piece)
-        model = self.tok.model if closed else self.open_model
-        got = [(t.id, len(t.value)) for t in model.tokenize(piece[lo:hi])]
+    def tokens(self, symbols: str, closed: bool) -> list[tuple[int, int]]:
+        """(id, length in symbols) of symbols alone; only a piece's own end (closed) gets the end-of-word mark."""
+        got = [(t.id, len(t.value)) for t in (self.tok.model if closed else self.open_model).tokenize(symbols)]
         if closed and self.suffix and got:
             got[-1] = (got[-1][0], got[-1][1] - len(self.suffix))
         return got
 
     def _symbols(self, piece: str, lo: int, hi: int) -> list[tuple[int, int]]:
         if hi - lo <= self.leaf_chars:
-            return self._model(piece, lo, hi)
+            return self.tokens(piece[lo:hi], hi == len(piece))
         mid = (lo + hi) // 2
-        left, right = self._symbols(piece, lo, mid), self._symbols(piece, mid, hi)
+        return self._join_symbols(piece, mid, self._symbols(piece, lo, mid), self._symbols(piece, mid, hi))
+
+    def _join_symbols(self, piece: str, mid: int, left: list[tuple[int, int]], right: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Encode a window of tokens around mid anew and grow it until both sides agree with it."""
         take = 8
         while True:
             i, j = max(0, len(left) - take), min(len(right), take)
             a, b = mid - sum(n for _, n in left[i:]), mid + sum(n for _, n in right[:j])
-            got = self._model(piece, a, b)
+            got = self.tokens(piece[a:b], b == len(piece))
             if (i == 0 or got[0] == left[i]) and (j == len(right) or got[-1] == right[j - 1]):
                 return left[:i] + got + right[j:]
             take *= 2
 
+    # ---- the tree with its leaves elsewhere
+
+    def units(self, text: str) -> list[tuple[int, int, int, int, str]]:
+        """What may be encoded apart: (leaf, piece, half, kind, text) of every leaf of the text, and of the halves of its unsplit runs."""
+        out, at = [], 0
+        for no, end in enumerate(self.cuts(text)):
+            part, at = text[at:end], end
+            if len(part) <= self.leaf_chars:
+                out.append((no, 0, 0, TEXT, part))
+                continue
+            out.append((no, -1, 0, RUN, part))
+            for sub, (special, piece) in enumerate(self.pieces(part)):
+                halves = 1
+                while -(-len(piece) // halves) > self.leaf_chars:
+                    halves *= 2
+                edges = [len(piece) * i // halves for i in range(halves + 1)]
+                for seg, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                    out.append((no, sub, seg, SPECIAL if special else CLOSED if b == len(piece) else OPEN, piece[a:b]))
+        return out
+
+    def unit(self, kind: int, part: str) -> tuple[bytes, bytes]:
+        """Ids of a unit taken alone, and the lengths of its tokens in symbols if it is part of a run."""
+        if kind == TEXT:
+            return self.leaf(part), b""
+        got = [(self.tok.token_to_id(part), len(part))] if kind == SPECIAL else self.tokens(part, kind == CLOSED) if kind != RUN else []
+        both = np.array(got, np.int32).reshape(-1, 2)
+        return both[:, 0].tobytes(), both[:, 1].tobytes()
+
+    def join_units(self, units: list[tuple[int, int, int, int, str, bytes, bytes]]) -> bytes:
+        """Encoding of the whole text from its encoded units, in order."""
+        text, ends, parts = [], [], []
+        for _, leaf in groupby(units, lambda u: u[0]):
+            leaf = list(leaf)
+            text.append(leaf[0][4])
+            ends.append((ends[-1] if ends else 0) + len(leaf[0][4]))
+            if leaf[0][3] == TEXT:
+                parts.append(leaf[0][5])
+                continue
+            parts.append(b"".join(self._join_halves(list(halves)) for _, halves in groupby(leaf[1:], lambda u: u[1])))
+        return self.join_all("".join(text), ends, parts)
+
+    def _join_halves(self, halves: list[tuple]) -> bytes:
+        """Ids of one piece of a run from its halves, joined pairwise."""
+        if len(halves) == 1:
+            return halves[0][5]
+        piece, at, row = "".join(u[4] for u in halves), 0, []
+        for u in halves:
+            at += len(u[4])
+            row.append((at, list(zip(np.frombuffer(u[5], np.int32).tolist(), np.frombuffer(u[6], np.int32).tolist(), strict=True))))
+        while len(row) > 1:
+            row = [(row[i + 1][0], self._join_symbols(piece, row[i][0], row[i][1], row[i + 1][1])) if i + 1 < len(row) else row[i] for i in range(0, len(row), 2)]
+        return np.array([i for i, _ in row[0][1]], np.int32).tobytes()
+
     # ---- decoding
 
     def decode(self, ids: np.ndarray) -> str:
@@ -349,57 +413,59 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "bpe", leaf_
     return near.unionByName(_encode_long(df.filter(long), path, text, out, leaf_chars))
 
 
-def _encode_long(df: DataFrame, path: str, text: str, out: str, leaf_chars: int) -> DataFrame:
-    """The halves of long texts as rows, encoded in parallel and joined by text."""
-    spark = df.sparkSession
-    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+UNITS = "array<struct<no:int,sub:int,seg:int,kind:int,part:string>>"
 
-    @F.arrow_udf("array<struct<no:int,part:string>>")
 
+def spread_units(df: DataFrame, path: str, text: str, leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """row, c0, c1, ... (df's other columns), no, sub, seg, kind, part, code of every unit of df's texts, encoded in parallel."""
+    width = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    @F.arrow_udf(UNITS)
     @frugal
-    def leaves(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def cut_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoder(path, leaf_chars)
+        names = ("no", "sub", "seg", "kind", "part")
+        kind = pa.list_(pa.struct([*((n, pa.int32()) for n in names[:4]), ("part", pa.string())]))
         for texts in batches:
-            rows = []
-            for t in texts.to_pylist():
-                ends = enc.cuts(t)
-                rows.append([{"no": i, "part": t[a:b]} for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True))])
-            yield pa.array(rows, pa.list_(pa.struct([("no", pa.int32()), ("part", pa.string())])))
-
-    @F.arrow_udf("binary")
+            yield pa.array([[dict(zip(names, u, strict=True)) for u in enc.units(t)] for t in texts.to_pylist()], kind)
 
+    @F.arrow_udf("struct<ids:binary,lens:binary>")
     @frugal
-    def alone(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def alone(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         enc = encoder(path, leaf_chars)
-        for parts in batches:
-            yield pa.array([enc.span(p, 0, len(p)) for p in parts.to_pylist()], pa.binary())
+        for kinds, parts in batches:
+            got = [enc.unit(k, p) for k, p in zip(kinds.to_pylist(), parts.to_pylist(), strict=True)]
+            yield pa.StructArray.from_arrays([pa.array([x[i] for x in got], pa.binary()) for i in range(2)], ["ids", "lens"])
 
-    @F.arrow_udf(RESULT)
+    others = [F.col(c).alias(f"c{i}") for i, c in enumerate(c for c in df.columns if c != text)]
+    rows = df.select(F.monotonically_increasing_id().alias("row"), *others, cut_up(F.col(text)).alias("units")).select("*", F.inline("units")).drop("units")
+    return rows.repartition(width, "row", "no", "sub", "seg").withColumn("code", alone(F.col("kind"), F.col("part")))
 
+
+def _encode_long(df: DataFrame, path: str, text: str, out: str, leaf_chars: int) -> DataFrame:
+    """The halves of long texts as rows, encoded in parallel and joined by text."""
+
+    @F.arrow_udf(RESULT)
     @frugal
     def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoder(path, leaf_chars)
         for rows in batches:
             ids = []
-            for leaves_of in rows.to_pylist():
-                parts = sorted(leaves_of, key=lambda x: x["no"])
-                ends = np.cumsum([len(x["part"]) for x in parts]).tolist()
-                ids.append(enc.join_all("".join(x["part"] for x in parts), ends, [x["ids"] for x in parts]))
+            for units in rows.to_pylist():
+                units = [(u["no"], u["sub"], u["seg"], u["kind"], u["part"], u["code"]["ids"], u["code"]["lens"]) for u in units]
+                ids.append(enc.join_units(sorted(units, key=lambda u: u[:3])))
             decoded = [enc.decode(np.frombuffer(x, np.int32)) for x in ids]
             yield pa.StructArray.from_arrays([_id_lists(ids), pa.array(decoded, pa.string())], ["ids", "decoded"])
 
     others = [c for c in df.columns if c != text]
-    key = F.struct(F.monotonically_increasing_id().alias("row"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)])
-    cut_up = df.select(key.alias("key"), leaves(F.col(text)).alias("leaves")).select("key.*", F.inline("leaves"))
-    held = ["row", *(f"c{i}" for i in range(len(others)))]
-    part_rows = cut_up.repartition(width, "row", "no").withColumn("ids", alone(F.col("part")))
-    whole = part_rows.groupBy("row").agg(
-        *[F.first(c).alias(c) for c in held[1:]],
-        F.collect_list(F.struct("no", "part", "ids")).alias("leaves"),
+    whole = spread_units(df, path, text, leaf_chars).groupBy("row").agg(
+        *[F.first(f"c{i}").alias(f"c{i}") for i in range(len(others))],
+        F.collect_list(F.struct("no", "sub", "seg", "kind", "part", "code")).alias("units"),
     )
+    own = F.filter(F.array_sort(F.transform("units", lambda u: F.struct(u["no"], u["sub"], u["seg"], u["kind"], u["part"]))), lambda u: u["kind"].isin(TEXT, RUN))
     back = whole.select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(others)],
-        F.array_join(F.transform(F.array_sort("leaves"), lambda x: x["part"]), "").alias(text),
-        joined(F.col("leaves")).alias(out),
+        F.array_join(F.transform(own, lambda u: u["part"]), "").alias(text),
+        joined(F.col("units")).alias(out),
     )
     return back.select(*df.columns, out)
