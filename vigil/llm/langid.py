@@ -3,8 +3,8 @@
 A language is a distribution over hashed letter trigrams of words (with a space before and
 after), learned from labelled documents. A document is a mixture: expectation-maximisation
 estimates the share of each language from the likelihoods of its trigrams; then mixtures of
-the one, two, ... strongest languages are fitted and the set with the best likelihood less
-a penalty for each further language is taken. The prediction is its largest share.
+the one, two, ... strongest languages are fitted, as long as the likelihood less a penalty for each
+further language rises, however many that are. The prediction is the largest share of the last set.
 
 Training takes whole texts of at most about ``docs_per_language`` labelled documents of each
 language (a documented bound, drawn by a hash of the row, whatever the input's size), adds
@@ -70,7 +70,7 @@ class Model:
     languages: list[str]
     chances: np.ndarray  # (features, languages), each column sums to 1
 
-    def shares(self, text: str | None, penalty: float = 3.0, most: int = 5) -> list[tuple[str, float]]:
+    def shares(self, text: str | None, penalty: float = 3.0) -> list[tuple[str, float]]:
         """Languages of the best set and their shares, largest first; empty without letters or languages."""
         if not text or not self.languages:
             return []
@@ -86,13 +86,13 @@ class Model:
             table, times = self.chances[found], counts[found].astype(np.float32)
         weight, _ = mixture(table, times)
         order = np.argsort(-weight, kind="stable")
-        order = order[: max(1, min(most, int((weight > 0.01).sum())))]
         best = None
         for k in range(1, len(order) + 1):
             share, fit = mixture(table[:, order[:k]], times)
             fit -= penalty * 0.5 * (k - 1) * np.log(n)
-            if best is None or fit > best[0]:
-                best = (fit, share, order[:k])
+            if best is not None and fit <= best[0]:
+                break
+            best = (fit, share, order[:k])
         ranked = sorted(zip(best[1], best[2], strict=True), key=lambda x: (-x[0], x[1]))
         return [(self.languages[i], float(s)) for s, i in ranked]
 
@@ -115,16 +115,17 @@ def mixture(table: np.ndarray, times: np.ndarray | None, rounds: int = 25, still
     return share, float(logs.sum(dtype=np.float64) if times is None else (logs * times).sum(dtype=np.float64))
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_language: int = 2000, features: int = FEATURES, smooth: float = 0.5) -> Model:
+def train(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_language: int = 2000, features: int = FEATURES, smooth: float = 0.5, most_languages: int = 512) -> Model:
     """Learn from df's rows with a label and a text; the driver holds one array for each language."""
     bounded_batches(df.sparkSession)
     known = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(F.col(lang).alias("lang")).agg(F.count("*")).collect()}
+    counts = known.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    counts = {r[0]: r[1] for r in counts.collect()}
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((features, 0), np.float32))
     part = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, docs_per_language / counts[k]))])
-    drawn = known.filter(F.pmod(F.xxhash64(F.lit(5), F.col(id_col), F.col(text)), F.lit(1_000_003)) < part[F.col(lang)] * 1_000_003)
+    drawn = known.filter(F.col(lang).isin(languages)).filter(F.pmod(F.xxhash64(F.lit(5), F.col(id_col), F.col(text)), F.lit(1_000_003)) < part[F.col(lang)] * 1_000_003)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -153,7 +154,6 @@ def predict(df: DataFrame, model: Model, text: str = "text", out: str = "languag
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(RESULT)
-
     @frugal
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
