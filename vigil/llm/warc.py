@@ -16,15 +16,20 @@ the others revisit it; payloads below ``min_revisit_bytes`` are always responses
 Rows that repeat both identifier and payload are all responses. Null payloads are empty;
 a null identifier is never the smallest, unless all are null, when all are responses. A
 null URL is written as ``urn:x-none``. An empty table gives no bundles.
+
+A record's URI holds its row's identifier, so identifiers and what a revisit refers to are read from the
+standard fields; records without identifier have the URI of their place. A payload is read back only if
+its own SHA-1 is the record's digest.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import struct
-import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -32,55 +37,58 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import bounded_batches
+from vigil.llm.common import bounded_batches, cut, spread_join
 
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 23
 #: Fixed values of the seekable format: the skippable frame's magic number, and the footer's.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "1970-01-01T00:00:00Z"
-SALTS = 32
-#: Name space of the record identifiers.
-SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:x-vigil:warc")
+#: Name spaces of record URIs: rows by identifier, and records without one by their place.
+ROW, PLACE = "urn:x-vigil:row:", "urn:x-vigil:place:"
 
 BUNDLE = "bundle string, n_records long, data binary, records array<struct<record:string,frame:int,offset:long,length:long>>"
 RECORD = "id string, url string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
 
 def record_uri(name: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE, name)}>"
+    return f"<{ROW}{quote(name, safe='')}>"
+
+
+def row_of(uri: str) -> str | None:
+    """The identifier in a record's URI; null for one that stands for a place."""
+    inner = uri.strip("<>")
+    return unquote(inner.removeprefix(ROW)) if inner.startswith(ROW) else None
 
 
 def base32_digest(sha1_hex: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1_hex)).decode()
 
 
-def write_record(name: str, url: str | None, payload: bytes, sha1_hex: str, refers_to: str | None, date: str = DATE) -> bytes:
-    """One WARC record; a revisit keeps the HTTP headers (with the full length) and leaves the payload out."""
+def write_record(uri: str, url: str | None, payload: bytes, sha1_hex: str, refers_to: str | None, date: str = DATE) -> bytes:
+    """One WARC record; a revisit of the row ``refers_to`` keeps the HTTP headers (with the full length) and leaves the payload out."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     revisit = refers_to is not None
     block = http if revisit else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_uri(name)}",
+        f"WARC-Record-ID: {uri}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {' '.join((url or 'urn:x-none').split())}",
         f"WARC-Payload-Digest: sha1:{base32_digest(sha1_hex)}",
-        f"X-Row-ID: {name}",
     ]
     if revisit:
         head += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
             f"WARC-Refers-To: {record_uri(refers_to)}",
-            f"X-Refers-To-Row-ID: {refers_to}",
         ]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse_record(raw: bytes) -> dict:
-    """Fields of one record; payload_bytes is the full payload's also for a revisit."""
+    """Fields of one record; payload_bytes is the full payload's also for a revisit. A damaged payload is an error."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -92,12 +100,15 @@ def parse_record(raw: bytes) -> dict:
     revisit = fields["WARC-Type"] == "revisit"
     if not revisit and len(payload) != length:
         raise ValueError("payload is cut short")
+    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    if not revisit and (own := base32_digest(hashlib.sha1(payload).hexdigest())) != digest:
+        raise ValueError(f"payload is damaged: its digest is {own}, the record says {digest}")
     return {
-        "id": fields["X-Row-ID"] or None,
+        "id": row_of(fields["WARC-Record-ID"]),
         "url": fields["WARC-Target-URI"],
         "record_type": fields["WARC-Type"],
-        "refers_to": fields.get("X-Refers-To-Row-ID"),
-        "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"),
+        "refers_to": row_of(fields["WARC-Refers-To"]) if revisit else None,
+        "payload_digest": digest,
         "payload_bytes": length,
         "payload": None if revisit else payload,
     }
@@ -116,7 +127,7 @@ class Bundle:
         self.total = 0
         self.records: list[dict] = []
 
-    def add(self, name: str, raw: bytes) -> None:
+    def add(self, name: str | None, raw: bytes) -> None:
         self.records.append({"record": name, "frame": len(self.frames), "offset": self.filled, "length": len(raw)})
         self.open.append(raw)
         self.filled += len(raw)
@@ -160,16 +171,15 @@ def plan_records(df: DataFrame, id_col: str, url: str, payload: str, min_revisit
     """id, url, payload (binary), sha1 (hex) and refers_to, which is null for responses.
 
     The smallest identifier of each payload comes from a partial aggregation. Payloads
-    that occur once aren't joined at all in effect, and the others are salted by
-    identifier, so that one payload with a third of all rows is dealt over many tasks.
+    that occur once aren't joined at all in effect, and those that hold a large part of all
+    rows are salted by identifier, so that one payload with a third of all rows is dealt over many tasks.
     """
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = df.select(F.col(id_col).alias("id"), F.col(url).alias("url"), body.alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
     firsts = rows.filter(F.length("payload") >= min_revisit_bytes).groupBy("sha1").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    firsts = firsts.filter("n > 1 AND first IS NOT NULL").select("sha1", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(firsts, ["sha1", "salt"], "left")
+    firsts = cut(firsts.filter("n > 1 AND first IS NOT NULL"))
+    joined = spread_join(rows, firsts, ["sha1"], "n", df.count(), ["id"], "left")
     later = F.col("id").isNull() | (F.col("id") != F.col("first"))
     return joined.select("id", "url", "payload", "sha1", F.when(F.col("first").isNotNull() & later, F.col("first")).alias("refers_to"))
 
@@ -190,8 +200,9 @@ def bundle(records: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_bytes: int
 
         for batch in batches:
             for name, url, body, sha1, first in zip(*(batch.column(i) for i in range(5)), strict=True):
-                name = name.as_py() or ""
-                now.add(name, write_record(name, url.as_py(), body.as_py(), sha1.as_py(), first.as_py(), date))
+                name = name.as_py()
+                uri = record_uri(name) if name is not None else f"<{PLACE}{task:06d}-{made:06d}-{len(now.records)}>"
+                now.add(name, write_record(uri, url.as_py(), body.as_py(), sha1.as_py(), first.as_py(), date))
                 if now.total >= bundle_bytes:
                     yield out()
                     made, now = made + 1, Bundle(frame_bytes)
