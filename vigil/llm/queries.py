@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +40,7 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.mixing import mix, taken
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return taken(mix(docs)).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return taken(mix(docs)).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 OP3_SQL = """
@@ -52,7 +51,8 @@ WITH sized AS (
   FROM documents),
 by_source AS (SELECT key, sum(size)::BIGINT AS source_size FROM sized GROUP BY key),
 ranked AS (
-  SELECT key, source_size, [5, 2, 1][(row_number() OVER (ORDER BY key) - 1) % 3 + 1]::BIGINT AS weight FROM by_source),
+  SELECT key, source_size, row_number() OVER (ORDER BY key) - 1 AS nth, [5, 2, 1][(row_number() OVER (ORDER BY key) - 1) % 3 + 1]::BIGINT AS weight
+  FROM by_source),
 ratios AS (SELECT *, source_size * 3 AS cap, (source_size * 3)::DOUBLE / weight AS ratio FROM ranked),
 levels AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0))::DOUBLE
@@ -60,17 +60,43 @@ levels AS (
   FROM ratios WINDOW w AS (ORDER BY ratio, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 fixed AS (SELECT level FROM levels WHERE level <= ratio ORDER BY ratio, key LIMIT 1),
 goals AS (
-  SELECT key, source_size, least(cap::DOUBLE, weight * (SELECT level FROM fixed)) AS target FROM levels),
+  SELECT key, nth, source_size, least(cap::DOUBLE, weight * (SELECT level FROM fixed)) AS target FROM levels),
 whole AS (SELECT *, least(round(target)::BIGINT, source_size * 3) AS take FROM goals),
 streams AS (
-  SELECT s.doc_id, s.size, w.source_size, w.target, w.take,
+  SELECT s.key, s.doc_id, s.size, w.source_size, w.target,
          coalesce(sum(s.size) OVER (PARTITION BY s.key ORDER BY s.shuffle, s.doc_id
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
-  FROM sized s JOIN whole w USING (key))
-SELECT doc_id, size, source_size, target,
-       (CASE WHEN source_size = 0 THEN 0
-             ELSE size * (take // source_size) + greatest(0, least(pos + size, take % source_size) - pos) END)::BIGINT AS taken
-FROM streams
+  FROM sized s JOIN whole w USING (key)),
+placed AS (
+  SELECT key, nth, source_size, take, (sum(take) OVER ())::BIGINT AS total,
+         coalesce(sum(take) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM whole WHERE take > 0),
+stretches AS (
+  SELECT *, floor(before::DOUBLE / total * 1836311903)::BIGINT AS lo, floor((before + take)::DOUBLE / total * 1836311903)::BIGINT AS hi,
+         (source_size + 4095) // 4096 AS blocks, take // source_size AS passes, take % source_size AS rest,
+         take // source_size * ((source_size + 4095) // 4096) + (take % source_size + 4095) // 4096 AS ranks
+  FROM placed),
+slots AS (SELECT coalesce(max((total + 4095) // 4096), 0)::BIGINT AS n FROM placed),
+points AS (SELECT i AS slot, i * 1134903170 % 1836311903 AS x FROM (SELECT unnest(range((SELECT n FROM slots))) AS i)),
+hits AS (
+  SELECT slot, key, row_number() OVER (PARTITION BY key ORDER BY slot) - 1 AS rank
+  FROM points JOIN stretches ON x >= lo AND x < hi),
+extra AS (
+  SELECT (SELECT n FROM slots) + (r - have) * (SELECT max(nth) + 1 FROM whole) + nth AS slot, key, r AS rank
+  FROM (SELECT key, nth, coalesce(n, 0) AS have, unnest(range(coalesce(n, 0), ranks)) AS r
+        FROM stretches LEFT JOIN (SELECT key, count(*) AS n FROM hits GROUP BY key) USING (key))),
+schedule AS (
+  SELECT key, slot, rank % blocks AS block, rank % blocks * 4096 AS from_word,
+         least((rank % blocks + 1) * 4096, CASE WHEN rank // blocks < passes THEN source_size ELSE rest END) AS to_word
+  FROM (SELECT key, slot, rank FROM hits UNION ALL SELECT key, slot, rank FROM extra) JOIN stretches USING (key)
+  WHERE rank < ranks),
+parts AS (
+  SELECT key, doc_id, slot, least(pos + size, to_word) - greatest(pos, from_word) AS words
+  FROM (SELECT *, unnest(range(pos // 4096, (pos + size - 1) // 4096 + 1)) AS block FROM streams WHERE size > 0) JOIN schedule USING (key, block)
+  WHERE least(pos + size, to_word) > greatest(pos, from_word)),
+got AS (SELECT key, doc_id, sum(words)::BIGINT AS taken, min(slot)::BIGINT AS first_slot, count(*)::BIGINT AS n_slots FROM parts GROUP BY key, doc_id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot, coalesce(n_slots, 0)::BIGINT AS n_slots
+FROM streams LEFT JOIN got USING (key, doc_id)
 """
 
 
@@ -105,10 +131,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str, limit: int = 1024) -> Dat
 
 
 def op6_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vigil.llm.common import shared_dir
+    from vigil.llm.common import new_folder
     from vigil.llm.warc import bundle, plan_records, read_bundles
 
-    where = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    where = new_folder(spark, "warc")
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     bundle(plan_records(pages, "page_id", "url", "html")).write.parquet(where)
     return read_bundles(spark.read.parquet(where)).select(
@@ -173,10 +199,10 @@ FROM documents d JOIN reach USING (doc_id) LEFT JOIN sizes s USING (doc_id) GROU
 
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vigil.llm.common import shared_dir
+    from vigil.llm.common import new_folder
     from vigil.llm.training_order import read_slots, shards
 
-    where = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    where = new_folder(spark, "shards")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     shards(docs).write.option("compression", "zstd").parquet(where)
     return read_slots(spark.read.parquet(where)).select(F.col("id").alias("doc_id"), "seq_no", "slot", "shard", "byte_offset", "n_tokens", F.md5("tokens").alias("tokens_md5"))
