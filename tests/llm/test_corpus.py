@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -75,6 +76,7 @@ def test_mix_of_odd_rows(spark):
     assert len(got) == df.count() and {r.size for r in got if r.id in (1, 2, 5)} == {0}
     assert mixing.taken(mixing.mix(df.limit(0))).count() == 0
     assert all(r.target == 0 and r.taken == 0 for r in mixing.taken(mixing.mix(df.filter("doc_id IN (1, 2, 5)"))).collect())
+    df = df.selectExpr("*", "1 AS _times", "2 AS _shuffle", "3 AS _key", "4 AS _nth", "5 AS shuffle")
     out = mixing.repeated(df)
     assert out.columns == df.columns and out.filter("text IS NULL").count() == 0
     assert out.groupBy("doc_id", "text").count().filter("count > 6").count() == 0
@@ -106,6 +108,22 @@ def test_archives(spark):
     assert {r.id for r in high} == {"3", None}
 
 
+def test_damaged_archives_and_identifiers(spark):
+    df = spark.createDataFrame([("", "u", "same"), ("a b/<é>", "u", "other"), (None, "u", "x"), (None, "u", "y"), ("b", None, "same")], "page_id string, url string, html string")
+    bundles = warc.bundle(warc.plan_records(df, "page_id", "url", "html"))
+    got = warc.read_bundles(bundles).collect()
+    assert sorted(map(str, ((r.id, r.refers_to, r.payload_bytes) for r in got))) == sorted(map(str, [("", None, 4), ("a b/<é>", None, 5), (None, None, 1), (None, None, 1), ("b", "", 4)]))
+    raw = warc.write_record(warc.record_uri("7"), "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None)
+    assert warc.parse_record(raw)["payload"] == b"abc"
+    with pytest.raises(ValueError, match="damaged"):
+        warc.parse_record(raw.replace(b"\r\n\r\nabc", b"\r\n\r\nabd"))
+    places = set()
+    for r in bundles.collect():
+        table = warc.seek_table(bytes(r.data))
+        places |= {x for x in b"".join(warc.read_frame(bytes(r.data), table, i) for i in range(len(table))).split(b"\r\n") if x.startswith(b"WARC-Record-ID")}
+    assert len(places) == 5
+
+
 # ---- near duplicates
 
 
@@ -182,6 +200,7 @@ def test_near_duplicates_of_odd_rows(spark):
     df = odd(spark)
     got = near_dup.near_duplicates(df).collect()
     assert len(got) == df.count() and all(r.n_shingles == 0 and r.component == r.id for r in got if r.id in (1, 2, 5))
+    df = df.selectExpr("*", "1 AS kid", "2 AS kth", "3 AS _kid", "4 AS apart", "5 AS th", "6 AS _th")
     out = near_dup.one_of_each(df)
     assert out.columns == df.columns and out.count() == df.count() - 1
     assert near_dup.near_duplicates(df.limit(0)).count() == 0
@@ -204,6 +223,56 @@ def test_languages(spark):
     assert [x for x, _ in model.shares(en * 40)] == [x for x, _ in model.shares(en)]
 
 
+def plain_mixture(parts, rounds=25, still=2e-3):
+    """Shares by expectation-maximisation, a trigram at a time: parts has each trigram's chance in every language."""
+    k = len(parts[0])
+    share = [1 / k] * k
+    for _ in range(rounds if k > 1 else 0):
+        new = [0.0] * k
+        for chance in parts:
+            whole = sum(s * c for s, c in zip(share, chance, strict=True))
+            for j in range(k):
+                new[j] += share[j] * chance[j] / whole / len(parts)
+        moved = max(abs(a - b) for a, b in zip(new, share, strict=True))
+        share = [x / sum(new) for x in new]
+        if moved < still:
+            break
+    return share, sum(math.log(sum(s * c for s, c in zip(share, chance, strict=True))) for chance in parts)
+
+
+def test_mixture_inference_against_plain_loops():
+    rng = np.random.default_rng(7)
+    chances = rng.dirichlet(np.full(langid.FEATURES, 0.2), 7).T.astype(np.float32) + np.float32(1e-7)
+    model = langid.Model([f"l{i}" for i in range(7)], chances)
+    rnd = random.Random(8)
+    for n in (3, 20, 120, 300):
+        text = " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(1, 6))) for _ in range(n))
+        parts = [[float(c) for c in chances[t]] for t in langid.trigrams(text)]
+        weight, _ = plain_mixture(parts)
+        order = sorted(range(7), key=lambda i: -weight[i])
+        best = None
+        for k in range(1, 8):
+            share, fit = plain_mixture([[p[i] for i in order[:k]] for p in parts])
+            fit -= 1.5 * (k - 1) * math.log(len(parts))
+            if best and fit <= best[0]:
+                break
+            best = (fit, share, order[:k])
+        want = sorted(((f"l{i}", s) for i, s in zip(best[2], best[1], strict=True)), key=lambda x: -x[1])
+        got = model.shares(text)
+        assert [x for x, _ in got] == [x for x, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want], abs=2e-3)
+
+
+def test_any_number_of_languages(spark):
+    letters_of = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx", "αβγδ", "εζηθ"]
+    rnd = random.Random(1)
+    text = lambda k, n: " ".join("".join(rnd.choice(letters_of[k]) for _ in range(4)) for _ in range(n))
+    rows = [(k * 100 + i, text(k, 60), f"l{k}") for k in range(8) for i in range(20 + k)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.train(df).shares(" ".join(text(k, 200) for k in range(8)))
+    assert {x for x, _ in got} == {f"l{k}" for k in range(8)} and all(abs(s - 1 / 8) < 0.02 for _, s in got)
+    assert langid.train(df, most_languages=3).languages == ["l5", "l6", "l7"]
+
+
 def test_languages_of_odd_rows(spark):
     df = odd(spark)
     model = langid.train(df)

@@ -7,12 +7,16 @@ similarity. By the pigeonhole principle a pair within the radius has a chunk of
 signature with at most ``errors`` wrong symbols, so every node is indexed under each chunk
 with each choice of ``errors`` symbols left out: all pairs within the radius share a key.
 
-The members of a key meet under its smallest node, the centre. Centres' groups are split
-into blocks of bounded size, and each pair of blocks is one unit of work: signatures
-first, to leave out nodes without a partner in the radius, then full sets. A unit returns
-only a spanning forest of the links it confirms, so a group costs no rows for its pairs,
-yet no two texts that are linked fall apart. Components come from alternating large-star
-and small-star steps over the forests.
+The members of a key meet under its smallest node, the centre. Every member whose signature lies within
+the centre's radius is compared with the centre on full sets (a star, linear in the group's size),
+and the links found give components. Members of one component need no pairs among themselves; only pairs
+that join two components are left, and each of them has a member outside of its group's largest
+component. Those outsiders are dealt to blocks, all members to others, and each pair of such blocks is
+one unit of work: signatures first, to leave out nodes without a partner in the radius, then full
+sets. A unit returns only links that join components, so a group costs no rows for its pairs, yet no
+two texts that are linked fall apart. Components come from alternating large-star and small-star steps.
+
+Keys, centres and sets that hold a large part of all rows are salted by their measured counts.
 
 A link is missed only if a pair at the threshold differs in more than ``radius`` symbols: with
 the defaults about 2 in 10,000 pairs of similarity exactly 0.75, and practically none from 0.8 up.
@@ -35,10 +39,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import bounded_batches, cut, frugal, small_side, stored, unused
+from vigil.llm.common import bounded_batches, cut, frugal, small_side, spread_join, stored, unused
 
 WORDS = 5
-SALTS = 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -172,83 +175,99 @@ def groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[pa.Ar
         yield whole()
 
 
-def _lacking(cols: list[pa.Array]) -> bool:
-    return len(cols[0]) < 2
+def _fits(n: np.ndarray | int, m: np.ndarray | int, pct: int) -> np.ndarray:
+    """Whether sets of n and m elements can be similar enough."""
+    return 100 * np.minimum(n, m) >= pct * np.maximum(n, m)
+
+
+def _within(plan: Plan):
+    """Whether two signatures, of sets with so many elements, lie within the radius."""
+
+    @F.arrow_udf("boolean")
+    @frugal
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for sig, other, n, m in batches:
+            a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(-1, plan.hashes) for x in (sig, other))
+            yield pa.array(((a != b).sum(axis=1) <= plan.radius) & _fits(np.asarray(n), np.asarray(m), plan.similarity_pct))
+
+    return run
+
+
+def similar(a: np.ndarray, b: np.ndarray, pct: int) -> bool:
+    """Whether two sets (sorted arrays) are similar enough."""
+    if not _fits(len(a), len(b), pct):
+        return False
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return 100 * both >= pct * (len(a) + len(b) - both)
+
+
+def _linked(plan: Plan):
+    @F.arrow_udf("boolean")
+    @frugal
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for sets, others in batches:
+            yield pa.array([similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), plan.similarity_pct) for x, y in zip(sets, others, strict=True)], pa.bool_())
+
+    return run
 
 
 def near_nodes(plan: Plan):
-    """For sorted (centre, lo, hi, block, node, n, sig): the (centre, node) with a partner in the radius and of a fitting size."""
+    """For sorted (centre, out, block, inner, node, root, n, sig): the (centre, node) of pairs in the radius that join two components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, nodes = [], []
         for cols in groups(batches, 3):
-            if not _lacking(cols):
-                block, node, n = (np.asarray(c) for c in cols[3:6])
-                sigs = np.frombuffer(b"".join(cols[6].to_pylist()), np.uint16).reshape(-1, plan.hashes)
-                cross = cols[1][0].as_py() != cols[2][0].as_py()
-                found = np.zeros(len(node), bool)
-                for i in range(len(node) - 1):
-                    near = (sigs[i + 1 :] != sigs[i]).sum(axis=1) <= plan.radius
-                    near &= 100 * np.minimum(n[i + 1 :], n[i]) >= plan.similarity_pct * np.maximum(n[i + 1 :], n[i])
-                    if cross:
-                        near &= block[i + 1 :] != block[i]
-                    if near.any():
-                        found[i] = True
-                        found[i + 1 :] |= near
-                nodes.append(node[found])
-                centres.append(np.full(int(found.sum()), cols[0][0].as_py(), np.int64))
-            if sum(map(len, nodes)) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(centres)), pa.array(np.concatenate(nodes))], ["centre", "node"])
-                centres, nodes = [], []
-        if nodes:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(centres)), pa.array(np.concatenate(nodes))], ["centre", "node"])
+            inner, node, root, n = (np.asarray(c) for c in cols[3:7])
+            sigs = np.frombuffer(b"".join(cols[7].to_pylist()), np.uint16).reshape(-1, plan.hashes)
+            every, found = np.flatnonzero(inner), np.zeros(len(node), bool)
+            for i in np.flatnonzero(inner == 0):
+                others = every[root[every] != root[i]]
+                others = others[(sigs[others] != sigs[i]).sum(axis=1) <= plan.radius]
+                others = others[_fits(n[others], n[i], plan.similarity_pct)]
+                found[i] = len(others) > 0
+                found[others] = True
+            if found.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(found.sum()), cols[0][0].as_py(), np.int64)), pa.array(node[found])], ["centre", "node"])
 
     return run
 
 
-def links(sets: list[np.ndarray], block: np.ndarray | None, similarity_pct: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs (of different blocks, if given) whose sets are similar enough."""
+def links(sets: list[np.ndarray], inner: np.ndarray, root: np.ndarray, similarity_pct: int) -> list[tuple[int, int]]:
+    """Pairs of a row with inner = 0 and one with inner = 1 whose sets are similar enough, as few as join the components ``root``.
+
+    Counts of shared elements come from lists of owners by element, so memory is bounded by the elements of all sets together.
+    """
     size = np.array([len(s) for s in sets])
     every, where = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), size)
-    shared = np.bincount(where, minlength=len(every)) > 1
-    owner, where = owner[shared[where]], (np.cumsum(shared) - 1)[where[shared[where]]]
-    width = int(shared.sum() + 63) // 64
-    if not width:
-        return []
-    bits = np.zeros((len(sets), width), np.uint64)
-    np.bitwise_or.at(bits, (owner, where >> 6), np.uint64(1) << (where & 63).astype(np.uint64))
-    root = np.arange(len(sets))
-    forest = []
-    for i in range(len(sets) - 1):
-        open_ = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
-        least, most = np.minimum(size[open_], size[i]), np.maximum(size[open_], size[i])
-        open_ = open_[100 * least >= similarity_pct * most]
-        if block is not None:
-            open_ = open_[block[open_] != block[i]]
-        for at in range(0, len(open_), 256):
-            part = open_[at : at + 256]
-            both = np.bitwise_count(bits[part] & bits[i]).sum(axis=1).astype(np.int64)
-            for j in part[100 * both >= similarity_pct * (size[part] + size[i] - both)]:
-                if root[j] != root[i]:
-                    forest.append((i, int(j)))
-                    root[root == root[j]] = root[i]
+    by = np.argsort(where, kind="stable")
+    starts = np.searchsorted(where[by], np.arange(len(every) + 1))
+    owners, ends = owner[by], np.cumsum(size)
+    root, forest = np.unique(root, return_inverse=True)[1], []
+    for i in np.flatnonzero(inner == 0):
+        if not ((root != root[i]) & (inner == 1)).any():
+            continue
+        own = where[ends[i] - size[i] : ends[i]]
+        many = starts[own + 1] - starts[own]
+        places = np.repeat(starts[own] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        both = np.bincount(owners[places], minlength=len(sets))
+        good = (100 * both >= similarity_pct * (size + size[i] - both)) & (both > 0) & (inner == 1) & (root != root[i])
+        for j in np.flatnonzero(good):
+            if root[j] != root[i]:
+                forest.append((int(i), int(j)))
+                root[root == root[j]] = root[i]
     return forest
 
 
 def forests(plan: Plan):
-    """For sorted (centre, lo, hi, block, node, set): links between nodes, as a spanning forest of each unit of work."""
+    """For sorted (centre, out, block, inner, node, root, set): links that join components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in groups(batches, 3):
-            if _lacking(cols):
-                continue
-            sets = [np.frombuffer(s, np.uint64) for s in cols[5].to_pylist()]
-            cross = cols[1][0].as_py() != cols[2][0].as_py()
-            found = links(sets, np.asarray(cols[3]) if cross else None, plan.similarity_pct)
+            sets = [np.frombuffer(s, np.uint64) for s in cols[6].to_pylist()]
+            found = links(sets, np.asarray(cols[3]), np.asarray(cols[5]), plan.similarity_pct)
             if found:
-                node = np.asarray(cols[4])
-                pairs = node[np.array(found)]
+                pairs = np.asarray(cols[4])[np.array(found)]
                 yield pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], ["u", "v"])
 
     return run
@@ -259,10 +278,10 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("u", "v")))
     seen = e.agg(mark).first()[0]
-    while True:
+    while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = spread_join(both.filter("v > u"), least, ["u"], "n", 2 * seen[0], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
@@ -274,13 +293,35 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def _units(members: DataFrame, blocks: F.Column) -> DataFrame:
-    """Members (centre, node, ...) dealt to pairs of blocks (lo, hi) of their centre's group."""
-    many = stored(members.groupBy("centre").agg(blocks.cast("int").alias("blocks")).filter("blocks > 1"))
-    out = members.join(many, "centre", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    out = out.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    out = out.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    return out.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+def _open_groups(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(centre, node, root, outside) of the groups that hold more than one component, without their centres.
+
+    ``outside`` tells the members outside of the group's largest component; all pairs with the centre are done.
+    """
+    held = members.filter("node <> centre").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = held.groupBy("centre", "root").agg(F.count("*").alias("n"))
+    most = parts.groupBy("centre").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+    most = cut(most.filter("parts > 1"))
+    total = members.count()
+    return cut(spread_join(held, most, ["centre"], "n", total, ["node"]).select("centre", "node", "root", (F.col("root") != F.col("most")).alias("outside")))
+
+
+def _units(members: DataFrame, weight: F.Column, limit: int) -> DataFrame:
+    """members (centre, node, outside, ...) dealt to units (out, block): a block of outsiders (inner = 0) and one of all members (inner = 1)."""
+    members = members.withColumn("weight", weight)
+    blocks = lambda x: F.ceil(F.sum(x) / F.lit(limit)).cast("int")
+    sizes = cut(members.groupBy("centre").agg(blocks(F.col("weight")).alias("blocks"), F.coalesce(blocks(F.when(F.col("outside"), F.col("weight"))), F.lit(0)).alias("outs"), F.count("*").alias("n_members")).filter("outs > 0"))
+    total = sizes.agg(F.coalesce(F.sum("n_members"), F.lit(0))).first()[0]
+    dealt = spread_join(members, sizes, ["centre"], "n_members", total, ["node"])
+    own = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    inner = dealt.withColumn("out", F.explode(F.expr("sequence(0, outs - 1)"))).withColumn("block", own("blocks")).withColumn("inner", F.lit(1))
+    outer = dealt.filter("outside").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("out", own("outs")).withColumn("inner", F.lit(0))
+    return inner.unionByName(outer).drop("weight", "blocks", "outs", "n_members", "outside")
+
+
+def _by_unit(units: DataFrame, *cols: str) -> DataFrame:
+    order = ["centre", "out", "block"]
+    return units.select(*order, "inner", "node", "root", *cols).repartition(*order).sortWithinPartitions(*order)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", plan: Plan = Plan()) -> DataFrame:
@@ -288,38 +329,53 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
     bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(text, F.lit(3)).alias("th"))
     rows = cut(docs.select("id", "th", _profile(plan)(F.col("text")).alias("p")).select("id", "th", "p.*"))
-    nodes = rows.filter("n > 0").groupBy("h1", "h2", "n", "sig").agg(F.min("id").alias("id"))
+    n_rows = rows.count()
+    nodes = rows.filter("n > 0").groupBy("h1", "h2", "n", "sig").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
 
     keyed = nodes.select("node", F.explode(_index(plan)(F.col("sig"))).alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("top")).filter("centre < top").drop("top")
-    members = cut(keyed.join(buckets, "key").select("centre", "node").distinct())
-
-    units = _units(members.join(nodes.select("node", "n", "sig"), "node"), F.ceil(F.count("*") / F.lit(plan.signature_block)))
-    units = units.select("centre", "lo", "hi", "block", "node", "n", "sig").repartition("centre", "lo", "hi").sortWithinPartitions("centre", "lo", "hi")
-    near = cut(units.mapInArrow(near_nodes(plan), "centre long, node long").distinct())
+    buckets = cut(keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1"))
+    n_keyed = buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    members = cut(spread_join(keyed, buckets, ["key"], "n", n_keyed, ["node"]).select("centre", "node").distinct())
 
-    # Texts of the nodes that are left, by one of their rows; further rows of the same id and text are repeats.
-    wanted = near.select("node").distinct().join(nodes, "node").select("node", "id", "h1", "h2")
+    # Texts of the nodes that have a group, by one of their rows; further rows of the same id and text are repeats.
+    wanted = members.select("node").distinct().join(nodes, "node").select("node", "id", "h1", "h2")
     first = rows.filter("n > 0").groupBy("h1", "h2", F.col("id").alias("rid")).agg(F.min("th").alias("th"))
     wanted = wanted.alias("w").join(first.alias("f"), F.expr("w.h1 = f.h1 AND w.h2 = f.h2 AND w.id <=> f.rid")).select("node", F.col("w.id").alias("wid"), F.col("f.th").alias("wth"))
     wanted = small_side(stored(wanted))
     texts = docs.join(wanted, F.expr("id <=> wid AND th = wth")).select("node", "text").dropDuplicates(["node"])
-    sets = texts.select("node", _sets()(F.col("text")).alias("set"))
-
-    size = F.ceil(F.sum(F.col("n") * 8) / F.lit(plan.set_block_bytes))
-    units = _units(near.join(nodes.select("node", "n"), "node"), size).select("centre", "lo", "hi", "block", "node")
-    units = units.join(sets, "node").select("centre", "lo", "hi", "block", "node", "set").repartition("centre", "lo", "hi").sortWithinPartitions("centre", "lo", "hi")
-    roots = components(units.mapInArrow(forests(plan), "u long, v long"))
+    sets = stored(texts.select("node", _sets()(F.col("text")).alias("set")))
+
+    # Stars: every member against its centre.
+    star = members.filter("node <> centre").join(nodes.select("node", "n", "sig"), "node")
+    counts = cut(members.groupBy("centre").agg(F.count("*").alias("rows")))
+    n_members = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    hubs = counts.join(nodes.select(F.col("node").alias("centre"), F.col("n").alias("m"), F.col("sig").alias("other")), "centre")
+    star = spread_join(star, hubs, ["centre"], "rows", n_members, ["node"])
+    star = cut(star.filter(_within(plan)(F.col("sig"), F.col("other"), F.col("n"), F.col("m"))).select("centre", "node"))
+    hubs = counts.join(sets.select(F.col("node").alias("centre"), F.col("set").alias("other")), "centre")
+    pairs = spread_join(star.join(sets, "node"), hubs, ["centre"], "rows", n_members, ["node"])
+    near = cut(pairs.filter(_linked(plan)(F.col("set"), F.col("other"))).select(F.col("node").alias("u"), F.col("centre").alias("v")))
+    roots = cut(components(near))
+
+    # What may still join two components.
+    open_ = _open_groups(members, roots)
+    units = _units(open_.join(nodes.select("node", "n", "sig"), "node"), F.lit(1), plan.signature_block)
+    left = cut(_by_unit(units, "n", "sig").mapInArrow(near_nodes(plan), "centre long, node long").distinct())
+    open_ = open_.join(left, ["centre", "node"]).join(nodes.select("node", "n"), "node")
+    units = _units(open_, F.col("n") * 8, plan.set_block_bytes).join(sets, "node")
+    more = cut(_by_unit(units, "set").mapInArrow(forests(plan), "u long, v long"))
+    if not more.isEmpty():
+        roots = components(near.unionByName(more))
 
     named = roots.join(nodes.select("node", "h1", "h2", "id"), "node")
     smallest = named.groupBy("root").agg(F.min("id").alias("component"))
     named = stored(named.join(smallest, "root").select("h1", "h2", "component"))
-    # Rows find their set's component by salted keys, as a third of them may hold one set.
-    reach = nodes.select("h1", "h2", F.col("id").alias("own")).join(named, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("component", "own").alias("component"))
-    reach = reach.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = rows.withColumn("salt", F.pmod(F.xxhash64("id", "th"), F.lit(SALTS)).cast("int")).join(reach, ["h1", "h2", "salt"], "left")
-    return out.select("id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    reach = nodes.select("h1", "h2", F.col("id").alias("own"), "copies").join(named, ["h1", "h2"], "left")
+    reach = reach.select("h1", "h2", "copies", F.coalesce("component", "own").alias("component"))
+    out = spread_join(rows.filter("n > 0"), reach, ["h1", "h2"], "copies", n_rows, ["id", "th"]).select("id", "th", "n", "component")
+    out = out.unionByName(rows.filter("n = 0").select("id", "th", "n", F.col("id").alias("component")))
+    return out.select("id", "th", F.col("n").alias("n_shingles"), "component")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text", plan: Plan = Plan()) -> DataFrame:
@@ -329,8 +385,8 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text", plan:
     with one; among themselves only equal texts are merged.
     """
     got = near_duplicates(df, id_col, text, plan).filter("id <=> component")
-    kept = got.groupBy(F.col("id").alias("kid"), F.when(F.col("id").isNull(), F.col("th")).alias("apart")).agg(F.min("th").alias("kth"))
-    th = unused(df, "_th")
+    th, kid, kth = unused(df, "_th"), unused(df, "_kid"), unused(df, "_kth")
+    kept = got.groupBy(F.col("id").alias(kid), F.when(F.col("id").isNull(), F.col("th")).alias("apart")).agg(F.min("th").alias(kth)).drop("apart")
     rows = df.withColumn(th, F.xxhash64(text, F.lit(3)))
-    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("kid")) & (F.col(th) == F.col("kth")), "left_semi")
+    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col(kid)) & (F.col(th) == F.col(kth)), "left_semi")
     return rows.dropDuplicates([id_col, th]).select(*df.columns)
