@@ -82,8 +82,8 @@ def sweep(spark: SparkSession, keep: DataFrame | None = None) -> None:
         _MADE.remove(where)
 
 
-#: A key is hot if it holds more than one in so many rows, so there are fewer hot keys than this.
-HOT_SHARE = 2_000
+#: A key is hot if it holds more than one in so many rows, so there are fewer hot keys than this; but never with so few rows.
+HOT_SHARE, COOL_ROWS = 2_000, 256
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows_of: str, total: int, spread: list[str], how: str = "inner") -> DataFrame:
@@ -95,8 +95,8 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows_of: str
     hash of the columns ``spread``. Keys must not be null.
     """
     salts, salt = unused(left, "_salts"), unused(left, "_salt")
-    hot = right.filter(F.col(rows_of) * HOT_SHARE > total).select(*keys, F.ceil(F.col(rows_of) * HOT_SHARE / F.lit(max(1, total))).cast("int").alias(salts))
-    hot = F.broadcast(hot)
+    part = max(COOL_ROWS, total / HOT_SHARE)
+    hot = F.broadcast(right.filter(F.col(rows_of) > part).select(*keys, F.ceil(F.col(rows_of) / part).cast("int").alias(salts)))
     kinds = dict(left.dtypes)
     by = F.xxhash64(*[c for c in spread if "map<" not in kinds[c] and "variant" not in kinds[c]])
     dealt = left.join(hot, keys, "left").withColumn(salt, F.pmod(by, F.coalesce(salts, F.lit(1))).cast("int")).drop(salts)

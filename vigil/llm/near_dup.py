@@ -274,17 +274,20 @@ def forests(plan: Plan):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node in edges (u, v): alternating large-star and small-star steps until nothing changes."""
-    e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    """(node, root) of every node in edges (u, v): alternating large-star and small-star steps until nothing changes.
+
+    Each step is a table, not a checkpoint, as a checkpoint hands its constraints on to the next step's plan.
+    """
+    e = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("u", "v")))
     seen = e.agg(mark).first()[0]
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
         large = spread_join(both.filter("v > u"), least, ["u"], "n", 2 * seen[0], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        e = stored(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(mark).first()[0]
         if now == seen:
             break
