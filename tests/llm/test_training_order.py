@@ -71,3 +71,39 @@ def test_broken_shard(spark):
     bad = T.shards(df, layout=T.Layout(length=16)).withColumn("data", F.expr("substring(data, 1, 100)"))
     with pytest.raises(Exception, match="not a whole shard"):
         T.read_slots(bad).collect()
+
+
+def test_order_does_not_depend_on_packing(spark, tmp_path):
+    df = spark.range(400).selectExpr("id AS doc_id", "repeat(cast(id AS string), cast(id % 50 AS int)) AS text")
+    df.repartitionByRange(6, "doc_id").sortWithinPartitions("doc_id").write.option("parquet.block.size", "2000").parquet(str(tmp_path / "d"))
+    layout, got = T.Layout(length=16), []
+    for size in ("128m", "3k", "700"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            docs = spark.read.parquet(str(tmp_path / "d")).select("doc_id", "text")
+            got.append((docs.rdd.getNumPartitions(), sorted(read(T.read_slots(T.shards(docs, layout=layout))))))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({n for n, _ in got}) > 1 and got[0][1] == got[1][1] == got[2][1]
+
+
+def test_token_ids_of_a_tokenizer_file(spark):
+    from vigil.llm.bpe import encode
+    from vigil.llm.queries import tokenizer_file
+
+    df = spark.createDataFrame([(1, "some words of a text " * 9), (2, ""), (3, None)], "doc_id long, text string")
+    ids = encode(df, tokenizer_file("word_bpe_49k.json"))
+    layout = T.Layout(length=16, bytes_per_token=2, end=65_534, pad=65_535)
+    got = read(T.read_slots(T.shards(ids.select("doc_id", T.packed("bpe.ids").alias("text")), layout=layout)))
+    for r in ids.collect():
+        own = sorted((k, tokens[:n]) for _, (i, k, n, tokens) in got if i == r.doc_id)
+        assert [t for _, part in own for t in part] == [*r.bpe.ids, 65_534]
+
+
+def test_ids_of_any_kind(spark):
+    rows = [(None, "a"), (T.NO_ID, "b"), (-(1 << 63), "c"), (0, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id for r in T.read_slots(T.shards(df)).collect()} == {i for i, _ in rows}
+    names = spark.createDataFrame([("x", "a"), (None, "b"), ("y", "c")], "doc_id string, text string")
+    got = [r.id for r in T.read_slots(T.shards(names)).collect()]
+    assert len(set(got)) == 3 and None in got
