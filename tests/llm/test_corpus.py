@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -363,6 +364,129 @@ def test_pipeline(spark):
     assert len(e) == sum(times.values()) and all(r.n_tokens == len(r.ids) for r in e)
 
 
+def plain_language(model, text):
+    """The largest share of a text's languages, by the same method on counts of trigrams."""
+    found, times = np.unique(langid.trigrams(text or "", len(model.chances)), return_counts=True)
+    n = times.sum()
+    if not n:
+        return None, 0.0
+    table = model.chances[found].astype(np.float64)
+
+    def fit(cols):
+        share = np.full(len(cols), 1 / len(cols))
+        for _ in range(25 if len(cols) > 1 else 0):
+            new = share * ((times / (table[:, cols] @ share)) @ table[:, cols]) / n
+            moved, share = np.abs(new - share).max(), new / new.sum()
+            if moved < 2e-3:
+                break
+        return share, float((np.log(table[:, cols] @ share) * times).sum()) - 1.5 * (len(cols) - 1) * math.log(n)
+
+    order = np.argsort(-fit(list(range(table.shape[1])))[0], kind="stable").tolist()
+    best = fit(order[:1])
+    for k in range(2, len(order) + 1):
+        got = fit(order[:k])
+        if got[1] <= best[1]:
+            break
+        best = got
+    i = int(best[0].argmax())
+    return model.languages[order[i]], float(best[0][i])
+
+
+def plain_quality(rows, line_docs=20):
+    """doc_id, text without frequent lines and source of what the quality rules keep."""
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    norm = lambda line: re.sub("[0-9]", "0", re.sub("[A-Z]", lambda m: m[0].lower(), " ".join(words(line))))
+    seen = {}
+    for _, t, s in rows:
+        for line in (t or "").split("\n"):
+            if words(line):
+                seen.setdefault((s, norm(line)), set()).add(t)
+    out = []
+    for i, t, s in rows:
+        w = words(t or "")
+        windows = {}
+        for k in range(len(w) - 7):
+            windows.setdefault(tuple(w[k : k + 8]), []).append(k)
+        again = {k + j for places in windows.values() if len(places) > 1 for k in places for j in range(8)}
+        if len(w) < 20 or 100 * len(again) > 30 * len(w):
+            continue
+        left = [x for x in t.split("\n") if not words(x) or len(seen[s, norm(x)]) < line_docs]
+        n = len(words("\n".join(left)))
+        if n >= 8 and 100 * n >= 30 * len(w):
+            out.append((i, "\n".join(left), s))
+    return out
+
+
+def plain_mix(rows, block=4096, period=1_836_311_903, step=1_134_903_170):
+    """How often each doc_id is given, slot by slot of the schedule."""
+    digest = lambda x: hashlib.md5(x.encode()).hexdigest()
+    streams = {}
+    for i, t, s in rows:
+        streams.setdefault(s, []).append((digest(f"7|{i}|{digest(t)}"), i, len(re.findall(r"[^\x20\x09-\x0D]+", t))))
+    order = sorted(streams, key=lambda s: (s is None, (s or "").encode()))
+    size = {s: sum(n for *_, n in streams[s]) for s in order}
+    target = brute_targets(size)
+    take = {s: min(round(target[s]), 3 * size[s]) for s in order}
+    total, before, hits = sum(take.values()), 0, {}
+    slots = -(-total // block)
+    points = [i * step % period for i in range(slots)]
+    for s in order:
+        lo, hi = (math.floor(x / total * period) for x in (before, before + take[s]))
+        hits[s] = [i for i, x in enumerate(points) if lo <= x < hi]
+        before += take[s]
+    times = {}
+    for s in order:
+        blocks, passes, rest = -(-size[s] // block), take[s] // size[s], take[s] % size[s]
+        taken = {}
+        for rank in range(passes * blocks + -(-rest // block)):  # make-up slots fill what the lattice lacks
+            end, lo = (size[s] if rank // blocks < passes else rest), rank % blocks * block
+            at = 0
+            for _, i, n in sorted(streams[s]):
+                taken[i] = taken.get(i, 0) + max(0, min(at + n, lo + block, end) - max(at, lo))
+                at += n
+        assert len(hits[s]) > 0 or not take[s] or take[s] < total / 8
+        times |= {i: math.floor(taken[i] / n + 0.5) for _, i, n in streams[s] if n}
+    return {i: k for i, k in times.items() if k}
+
+
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline as P
+    from tokenizers import Tokenizer
+    from vigil.llm.queries import tokenizer_file
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = P.run(spark, SF).collect()
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect() if plain_language(model, r.text)[1] >= 0.5]
+    rows = plain_quality(rows)
+    first = {i: c for i, (_, c) in brute_components({i: t for i, t, _ in rows}).items()}
+    rows = [r for r in rows if first[r[0]] == r[0]]
+    times, text = plain_mix(rows), {i: t for i, t, _ in rows}
+    tok = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    tok.no_truncation()
+    tok.no_padding()
+    want = []
+    for i, k in times.items():
+        ids = tok.encode(text[i], add_special_tokens=False).ids
+        want += [(i, len(ids), tuple(ids), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest())] * k
+    assert sorted((r.doc_id, r.n_tokens, tuple(r.ids), r.decoded_sha256) for r in got) == sorted(want)
+
+
+def test_stages_take_odd_rows(spark):
+    import corpus_pipeline as P
+
+    good = [(100 + i, letters(i, 40) if i != 3 else letters(2, 40), None if i % 5 == 0 else "s", "en") for i in range(30)]
+    base = odd(spark)
+    df = base.unionByName(spark.createDataFrame([(*r, 1, 2) for r in good], base.schema)).selectExpr("*", "7 AS n_chars", "'x' AS _key", "'y' AS host", "1 AS _times", "2 AS th")
+    for rows in (df, df.limit(0)):
+        out = rows
+        for i, (_, stage) in enumerate(P.STAGES):
+            out = stage(spark, out, SF)
+            assert i == len(P.STAGES) - 1 or out.columns == df.columns
+        ids = [r.doc_id for r in out.collect()]
+        assert not ids if rows is not df else set(ids) and set(ids) <= set(range(100, 130)) and 103 not in ids
+
+
 def test_all_operators_are_registered():
     import __spark_entry__ as E
 

@@ -73,10 +73,15 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     return df.sparkSession.read.parquet(where)
 
 
-def sweep(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Delete the intermediate tables made so far, but for those that ``keep`` reads; nothing else may still be read lazily."""
-    held = keep.inputFiles() if keep is not None else []
-    for where in [w for w in _MADE if not any(f"/{w.rsplit('/', 1)[-1]}/" in f for f in held)]:
+def made() -> frozenset[str]:
+    """The folders of intermediate tables made so far."""
+    return frozenset(_MADE)
+
+
+def sweep(keep: DataFrame, before: frozenset[str]) -> None:
+    """Delete the intermediate tables made since ``before`` but for those that ``keep`` reads; nothing else may read them any more."""
+    spark, held = keep.sparkSession, keep.inputFiles()
+    for where in [w for w in _MADE if w not in before and not any(f"/{w.rsplit('/', 1)[-1]}/" in f for f in held)]:
         path = spark._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         _MADE.remove(where)
