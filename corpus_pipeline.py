@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import bpe, langid, mixing, near_dup, quality
-from vigil.llm.common import stored, table, unused
+from vigil.llm.common import made, stored, sweep, table, unused
 from vigil.llm.queries import tokenizer_file
 
 #: A document is rejected if no language has this share of it.
@@ -19,7 +19,10 @@ MIN_SHARE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the labels there are; texts without letters or without a prevailing language go."""
+    """Texts without letters or without a prevailing language go.
+
+    Learns from all labels there are, those that the query of the operator holds out included.
+    """
     model = langid.train(docs.select("doc_id", "text", "lang"))
     out = unused(docs, "_language")
     got = langid.predict(docs, model, out=out)
@@ -68,9 +71,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if stage is not STAGES[-1][1]:
-            docs = stored(docs, "stage")
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), made()
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), "stage")
+        sweep(docs, before)  # what earlier stages wrote isn't read again
+    return STAGES[-1][1](spark, docs, sf_dir)
