@@ -113,12 +113,12 @@ def ddos(flows: DataFrame, p: Ddos = Ddos()) -> DataFrame:
     mbps = F.col("amp_rate") * 8 / 1e6
     base = F.when(F.col("base.n") >= p.baseline.ready, F.format_string("baseline %.1f/s", "base.mean")).otherwise("no baseline yet")
     words = F.when(
-        F.col("by_bytes"), F.format_string("%s toward %s: %,.1f Mbit/s of unsolicited answers from %,d reflectors, %,.0fx the bytes it sent.", kind, "target", mbps, "sources", "amp_ratio")
-    ).otherwise(F.format_string("%s toward %s: %,.0f new flows/s from %,d sources (entropy %.1f bits, %.0f%% never completed a handshake).", kind, "target", "rate", "sources", "entropy", F.col("syn_ratio") * 100))
+        F.col("by_bytes"), F.format_string("%s: %s gets %,.1f Mbit/s of answers that it did not ask for, from %,d servers, %,.0f bytes for each one it sent.", kind, "target", mbps, "sources", "amp_ratio")
+    ).otherwise(F.format_string("%s: %s sees %,.0f new flows a second from %,d addresses (%.1f bits of entropy); %.0f%% of the TCP ones stay half open.", kind, "target", "rate", "sources", "entropy", F.col("syn_ratio") * 100))
     return detections(
         found, threat_class="ddos", sub_type=kind, entity=F.col("target"), host=F.col("target"), src=F.concat(F.col("sources").cast("string"), F.lit(" sources")), dst=F.col("target"),
         dst_port=F.col("opened.dst_port").cast("string"), proto=F.when(F.col("tcp_new") > 0, "TCP").otherwise("UDP"), flow_id=F.col("opened.flow_id"), event_start=F.col("opened.first_ts"), event_end=F.col("last_ts"),
-        confidence=confidence, factors=factors, summary=words, action=F.format_string("Ask the upstream provider for scrubbing or rate-limiting toward %s.", "target"),
+        confidence=confidence, factors=factors, summary=words, action=F.format_string("Have the provider filter or slow down what goes to %s.", "target"),
         mitre=[F.when(amplified, "T1498.002").otherwise("T1498.001")], model="ddos-stat", model_version="1.0", asset_ip=F.col("target"),
         evidence=evidence({
             "new_flows_per_s": (F.col("rate"), base), "unique_sources": (F.col("sources"), None), "src_ip_entropy_bits": (F.col("entropy"), f"alert at {p.entropy_bits}"),

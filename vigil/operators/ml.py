@@ -16,10 +16,10 @@ from vigil.params import DNS_PORT, INTERNAL_NETWORKS, Ml
 
 #: Wording and technique by label.
 FLOW_LABELS = {
-    "ddos": ("Volumetric flood (ML)", "T1498", "Ask the upstream provider for scrubbing toward the target."),
-    "recon_scan": ("Reconnaissance / scan (ML)", "T1046", "Identify the scanning host and restrict it at the zone firewall."),
-    "c2_beacon": ("Botnet C2 (ML)", "T1071", "Isolate the host and hunt for the malware maintaining the channel."),
-    "exfiltration": ("Data exfiltration (ML)", "T1041", "Freeze outbound transfers from the host and review what left."),
+    "ddos": ("Volumetric flood (ML)", "T1498", "Have the provider filter what goes to the target."),
+    "recon_scan": ("Reconnaissance / scan (ML)", "T1046", "Find out whose machine scans, and let it reach only what it needs."),
+    "c2_beacon": ("Botnet C2 (ML)", "T1071", "Cut the channel, and look for the program on the host that keeps it open."),
+    "exfiltration": ("Data exfiltration (ML)", "T1041", "Stop the host's uploads, and find out which files went."),
 }
 DNS_LABELS = {"dga": ("Generated domain (ML)", "T1568.002"), "dns_tunnel": ("DNS tunnelling (ML)", "T1071.004")}
 
@@ -65,7 +65,7 @@ def classify_flows(flows: DataFrame, model, networks: tuple[str, ...] = INTERNAL
     return detections(
         rows, threat_class=F.col("label"), sub_type=by_label(F.col("label"), FLOW_LABELS, 0), entity=F.col("host"), host=F.col("host"), src=F.col("src_ip"), dst=F.col("dst_ip"), dst_port=F.col("dst_port").cast("string"), proto=proto_name(F.col("proto")), flow_id=F.col("flow_id"),
         event_start=F.col("first_ts"), event_end=F.col("last_ts"), confidence=F.round("p", 4), factors=F.array(F.struct(F.lit("model_probability").alias("feature"), F.round("p", 4).alias("contribution"))),
-        summary=F.format_string("Supervised model flagged a flow %s -> %s:%d as %s (p=%.2f). %,.0f bytes over %.1f s.", "src_ip", "dst_ip", "dst_port", "label", "p", "total_bytes", "duration_s"), action=by_label(F.col("label"), FLOW_LABELS, 2),
+        summary=F.format_string("The model takes the flow from %s to %s:%d for %s with a chance of %.2f; it moved %,.0f bytes in %.1f s.", "src_ip", "dst_ip", "dst_port", "label", "p", "total_bytes", "duration_s"), action=by_label(F.col("label"), FLOW_LABELS, 2),
         mitre=[by_label(F.col("label"), FLOW_LABELS, 1)], model="ml-flow", model_version=model.version, asset_ip=asset,
         evidence=evidence({k: (F.col(k), None) for k in ("duration_s", "total_bytes", "bytes_per_s", "down_up_ratio", "fwd_bwd_pkt_ratio")}, {"model_label": (F.col("label"), F.format_string("p=%.2f", "p"))}),
     )
@@ -80,7 +80,7 @@ def classify_queries(dns: DataFrame, model, p: Ml = Ml()) -> DataFrame:
     ip = F.col("client_ip")
     return detections(
         rows, threat_class=F.col("label"), sub_type=by_label(F.col("label"), DNS_LABELS, 0), entity=ip, host=ip, src=ip, dst=F.col("resolver_ip"), dst_port=str(DNS_PORT), proto="UDP", flow_id=F.col("flow_id"), event_start=F.col("ts"), event_end=F.col("ts"),
-        confidence=F.round("p", 4), factors=F.array(F.struct(F.lit("model_probability").alias("feature"), F.round("p", 4).alias("contribution"))), summary=F.format_string("Supervised model flagged the lookup of %s by %s as %s (p=%.2f).", "query", ip, "label", "p"),
-        action=F.format_string("Inspect %s and sinkhole the domain.", ip), mitre=[by_label(F.col("label"), DNS_LABELS, 1)], model="dga-ml", model_version=model.version, asset_ip=ip,
+        confidence=F.round("p", 4), factors=F.array(F.struct(F.lit("model_probability").alias("feature"), F.round("p", 4).alias("contribution"))), summary=F.format_string("The model takes the lookup of %s by %s for %s with a chance of %.2f.", "query", ip, "label", "p"),
+        action=F.format_string("Look for malware on %s, and have the resolver refuse the name.", ip), mitre=[by_label(F.col("label"), DNS_LABELS, 1)], model="dga-ml", model_version=model.version, asset_ip=ip,
         evidence=evidence({"record_type": (F.col("qtype"), None)}, {"query": (F.col("query"), None), "model_label": (F.col("label"), F.format_string("p=%.2f", "p"))}),
     )

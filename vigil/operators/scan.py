@@ -76,8 +76,8 @@ def scans(flows: DataFrame, p: Scan = Scan()) -> DataFrame:
         found, threat_class="recon_scan", sub_type=F.when(vertical, "Vertical port scan").when(sweep, "Horizontal host sweep").otherwise("Block scan"), entity=F.col("src_ip"), host=F.col("src_ip"), src=F.col("src_ip"),
         dst=F.when(vertical, F.col("top_host")).otherwise(n_hosts), dst_port=F.when(vertical, n_ports).when(sweep, F.col("top_port").cast("string")).otherwise(n_ports), proto="TCP", flow_id=F.col("opened.flow_id"),
         event_start=F.col("opened.first_ts"), event_end=F.col("so_far"), confidence=F.col("confidence"), factors=factors,
-        summary=F.format_string("%s probed %,d targets (%d hosts, %d ports) in %.0f s; %.0f%% got no handshake.", "src_ip", "n", "hosts", "ports", F.col("so_far") - F.col("opened.first_ts"), F.col("ratio") * 100),
-        action=F.format_string("Identify the owner of %s and restrict its reach at the zone firewall.", "src_ip"),
+        summary=F.format_string("%s tried %,d targets on %d hosts and %d ports within %.0f s, and %.0f%% of them did not answer.", "src_ip", "n", "hosts", "ports", F.col("so_far") - F.col("opened.first_ts"), F.col("ratio") * 100),
+        action=F.format_string("Find out whose machine %s is, and let it reach only what it needs.", "src_ip"),
         mitre=F.when(F.col("top_port") == MODBUS_PORT, F.array(F.lit("T1046"), F.lit("T0846"))).otherwise(F.array(F.lit("T1046"))), model="scan-trw", model_version="1.0", asset_ip=F.col("top_host"),
         evidence=evidence({
             "distinct_targets": (F.col("n"), f"alert at {p.targets}"), "distinct_hosts": (F.col("hosts"), None), "distinct_ports": (F.col("ports"), None), "failed_connection_ratio": (F.col("ratio"), f"alert at {p.failed}"),

@@ -29,15 +29,15 @@ def tls_clients(tls: DataFrame, ja3_list: set[str] = frozenset(), ja4_list: set[
         Signal("fingerprint_rarity", F.col("prior"), p.rare_hosts, p.w_rarity, higher_is_worse=False, present=F.col("warmed")),
     ])
     rows = rows.withColumn("confidence", confidence).withColumn("factors", factors).filter(F.col("listed") | (F.col("confidence") >= p.min_confidence))
-    rare = F.when(F.col("prior") == 0, "first time on this network").otherwise(F.format_string("seen from %d other hosts", "prior"))
+    rare = F.when(F.col("prior") == 0, "new here").otherwise(F.format_string("used by %d other hosts", "prior"))
     ip = F.col("client_ip")
     return detections(
         rows, threat_class="encrypted_malware", sub_type=F.when(F.col("listed"), "Known-bad TLS fingerprint").otherwise("Anomalous TLS client"), entity=F.concat(ip, F.lit(">"), F.col("ja4")), host=ip, src=ip, dst=F.col("server_ip"),
         dst_port=F.col("server_port").cast("string"), proto="TCP", flow_id=F.col("flow_id"), event_start=F.col("ts"), event_end=F.col("ts"), confidence=F.col("confidence"), factors=F.col("factors"),
-        summary=F.concat(F.format_string("%s opened a TLS session to %s:%d with client fingerprint %s (", ip, "server_ip", "server_port", "ja4"), F.when(F.col("listed"), "on the offline blocklist").otherwise(rare), F.when(F.col("named"), "").otherwise(", no server name"), F.lit("). Nothing was decrypted.")),
-        action=F.format_string("Isolate %s and search the flow archive for the same fingerprint.", ip), mitre=["T1573.002", "T1071.001"], model="tls-meta", model_version="1.0", asset_ip=ip,
-        evidence=evidence({"fingerprint_prevalence": (F.col("prior"), F.when(F.col("warmed"), rare).otherwise("still learning"))}, {
+        summary=F.concat(F.format_string("The TLS client of %s that called %s:%d has the fingerprint %s (", ip, "server_ip", "server_port", "ja4"), F.when(F.col("listed"), "a listed one").otherwise(rare), F.when(F.col("named"), "").otherwise("; it named no server"), F.lit("). Only the handshake was looked at.")),
+        action=F.format_string("Take %s off the network, and look for other hosts with this fingerprint.", ip), mitre=["T1573.002", "T1071.001"], model="tls-meta", model_version="1.0", asset_ip=ip,
+        evidence=evidence({"fingerprint_prevalence": (F.col("prior"), F.when(F.col("warmed"), rare).otherwise("warming up"))}, {
             "ja3": (F.col("ja3"), None), "ja4": (F.col("ja4"), None), "offline_blocklist_match": (F.when(F.col("listed"), "yes").otherwise("no"), source),
-            "sni": (F.when(F.col("named"), F.col("sni")).otherwise("(absent)"), "present in most legitimate sessions"), "tls_version": (F.col("version"), None), "alpn": (F.coalesce("alpn", F.lit("(none)")), None),
+            "sni": (F.when(F.col("named"), F.col("sni")).otherwise("(absent)"), "most clients send one"), "tls_version": (F.col("version"), None), "alpn": (F.coalesce("alpn", F.lit("(none)")), None),
         }),
     )

@@ -92,7 +92,7 @@ def campaigns(alerts: DataFrame, p: Fusion = Fusion()) -> DataFrame:
         hits, threat_class="campaign", sub_type=F.concat(F.lit("Multi-stage activity: "), F.col("chain")), entity=F.col("host"), host=F.col("host"), src=F.col("host"), dst="multiple", dst_port="-", proto="mixed", flow_id=F.col("flow"),
         event_start=F.col("begin"), event_end=F.col("t"), confidence=F.col("confidence"), factors=F.array(F.struct(F.lit("linked_stages").alias("feature"), F.col("confidence").alias("contribution"))),
         evidence=F.create_map(F.lit("linked_stages"), number(F.col("n")), F.lit("stage_chain"), F.struct(F.col("chain").alias("observed"), F.lit(None).cast("double").alias("observed_num"), F.lit(None).cast("string").alias("reference")), F.lit("time_span_s"), number(F.round(F.col("t") - F.col("begin"), 1))),
-        summary=F.format_string("%s shows %d linked attack stages: %s. Treat as one incident.", "host", "n", "chain"), action=F.format_string("Open an incident for %s; contain it on the production side and preserve evidence.", "host"),
+        summary=F.format_string("On %s, %d stages of an attack follow each other: %s. They belong together.", "host", "n", "chain"), action=F.format_string("Handle the alerts of %s as one case, and cut it off before anything is cleaned.", "host"),
         mitre=["TA0011", "TA0010"], model="correlator", model_version="1.0", asset_ip=F.col("host"), related=F.transform("live", lambda x: x["id"]),
     )
 
