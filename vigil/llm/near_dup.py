@@ -7,7 +7,8 @@ similarity. By the pigeonhole principle a pair within the radius has a chunk of
 signature with at most ``errors`` wrong symbols, so every node is indexed under each chunk
 with each choice of ``errors`` symbols left out: all pairs within the radius share a key.
 
-The members of a key meet under its smallest node, the centre. Every member whose signature lies within
+The members of a key meet under the one of them that shares its keys with the most nodes, the centre, so
+that near copies of one text meet under few centres, mostly the text that they are copies of. Every member whose signature lies within
 the centre's radius is compared with the centre on full sets (a star, linear in the group's size),
 and the links found give components. Members of one component need no pairs among themselves; only pairs
 that join two components are left, and each of them has a member outside of its group's largest
@@ -337,9 +338,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
 
     keyed = nodes.select("node", F.explode(_index(plan)(F.col("sig"))).alias("key"))
-    buckets = cut(keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1"))
-    n_keyed = buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    members = cut(spread_join(keyed, buckets, ["key"], "n", n_keyed, ["node"]).select("centre", "node").distinct())
+    buckets = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    n_shared = buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shared = cut(spread_join(keyed, buckets, ["key"], "n", n_shared, ["node"]).select("node", "key", "n"))
+    fame = shared.groupBy("node").agg(F.sum("n").alias("fame"))
+    centres = shared.join(fame, "node").groupBy("key").agg((-F.max(F.struct("fame", -F.col("node")))["col2"]).alias("centre"), F.count("*").alias("n"))
+    members = cut(spread_join(shared.drop("n"), cut(centres), ["key"], "n", n_shared, ["node"]).select("centre", "node").distinct())
 
     # Texts of the nodes that have a group, by one of their rows; further rows of the same id and text are repeats.
     wanted = members.select("node").distinct().join(nodes, "node").select("node", "id", "h1", "h2")
