@@ -78,6 +78,40 @@ def test_fusion_and_ledger(spark, tmp_path):
     assert verify_file(path) == (False, 2)
 
 
+def test_a_batch_that_broke_off_goes_on(spark, tmp_path):
+    path = str(tmp_path / "ledger.jsonl")
+    rows = spark.range(25).selectExpr("id", "id * 2 AS v")
+
+    class Broken(Ledger):
+        def _lines(self, kind, records, batch):
+            if self.height >= 20:
+                raise OSError("no more")
+            return super()._lines(kind, records, batch)
+
+    with pytest.raises(OSError):
+        Broken(path, chunk=10).write(rows, ["id"], batch=4)
+    assert verify_file(path) == (True, 20)
+    book = Ledger(path, chunk=10)
+    assert book.height == 20 and book.write(rows, ["id"], batch=4) == 5 and book.write(rows, ["id"], batch=4) == 0
+    assert verify_file(path) == (True, 25) and [json.loads(x)["record"]["id"] for x in open(path)] == list(range(25))
+    assert Ledger(path).head == book.head and Ledger(path).batches == {4}
+
+
+def test_orders_by_ranges(spark):
+    from vigil.plans.ordered import nearest_ranks, numbered_rows, value_at_rank, with_previous
+
+    df = spark.range(500).selectExpr("pmod(id * 37, 1009) AS x", "id % 3 AS k").repartition(5)
+    values = sorted(r.x for r in df.collect())
+    assert [r.n for r in numbered_rows(df, ["x"], "n").orderBy("x").collect()] == list(range(1, 501))
+    assert [value_at_rank(df, "x", i) for i in (0, 1, 250, 500, 501)] == [None, values[0], values[249], values[-1], None]
+    got = with_previous(df, ["x"], "x", "p", F.lit(-1)).orderBy("x").collect()
+    assert [r.p for r in got] == [-1, *values[:-1]]
+    for r in nearest_ranks(df, "k", "x", {"p50": 0.5, "p95": 0.95}, 10.0).collect():
+        own = sorted(x.x for x in df.filter(F.col("k") == r.k).collect())
+        assert (r.p50, r.p95) == (own[int(len(own) * 0.5)], own[int(len(own) * 0.95)])
+    assert value_at_rank(df.limit(0), "x", 1) is None and numbered_rows(df.limit(0), ["x"], "n").count() == 0
+
+
 def test_ledger_table(spark):
     from vigil.plans.ledger import GENESIS, link
 

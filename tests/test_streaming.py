@@ -21,7 +21,7 @@ def collect(df, name, tmp_path, mode="append"):
 def test_scan_stream_equals_batch(spark, tmp_path):
     flows = SCENARIOS["host_sweep"][0](spark)["flows"]
     flows.orderBy("seq").repartitionByRange(3, "seq").write.parquet(str(tmp_path / "in/flows"))
-    rows = collect(scan_stream(replay(spark, str(tmp_path / "in"), "flows", FLOWS)), "scan_out", tmp_path, "update")
+    rows = collect(scan_stream(replay(spark, str(tmp_path / "in"), "flows", FLOWS)), "scan_out", tmp_path)
     batch = scans(flows).select(F.col("evidence")["distinct_targets"]["observed_num"].cast("int")).collect()
     assert sorted(r.n for r in rows) == sorted(r[0] for r in batch)
 

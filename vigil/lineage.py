@@ -10,9 +10,15 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that ``spark.checkpoint.dir`` names; one is made only where it is unset."""
+    """df, computed once and kept in the folder that ``spark.checkpoint.dir`` names.
+
+    One is made only where it is unset and everything runs in one process; on a cluster that is an error.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.gettempdir(), f"vigil-shared-{os.getpid()}").as_uri())
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the executors of {sc.master} share")
+        sc.setCheckpointDir(named or Path(tempfile.gettempdir(), f"vigil-shared-{os.getpid()}").as_uri())
     return df.checkpoint(eager=True)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.features import flow_features
 from vigil.functions.lexical import query_features
+from vigil.plans.ordered import numbered_rows, value_at_rank
 
 FLOW_FEATURES = "duration_s total_packets total_bytes fwd_packets bwd_packets fwd_bytes bwd_bytes bytes_per_s packets_per_s fwd_pkt_len_mean bwd_pkt_len_mean down_up_ratio fwd_bwd_pkt_ratio syn_flag rst_flag is_tcp is_udp".split()
 DNS_FEATURES = "label_length label_entropy digit_ratio rare_bigram_ratio dga_score subdomain_max_label_len subdomain_entropy num_labels qtype is_txt_or_null".split()
@@ -51,8 +52,9 @@ def fit(rows: DataFrame, features: list[str], trees: int = 40, depth: int = 10,
 def split(rows: DataFrame, test: float = 0.3, how: str = "stratified", seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(train, test): each label's share by a hash of its rows, or the latest rows by seq."""
     if how == "temporal":
-        cut = rows.agg(F.percentile_approx("seq", 1 - test, 10_000).alias("c")).first().c
-        return rows.filter(F.col("seq") <= cut), rows.filter(F.col("seq") > cut)
+        last = value_at_rank(rows, "seq", int(rows.count() * (1 - test)))
+        early = F.col("seq") <= last if last is not None else F.lit(False)
+        return rows.filter(early), rows.filter(~early)
     u = F.pmod(F.xxhash64(F.lit(seed), "label", "seq"), F.lit(10_000)) < int(test * 10_000)
     return rows.filter(~u), rows.filter(u)
 
@@ -92,14 +94,15 @@ def macro_f1(scored: DataFrame) -> float:
     return report(scored).agg(F.avg("f1")).first()[0]
 
 
-def importances(model: Model, rows: DataFrame, repeats: int = 2, seed: int = 7) -> dict[str, float]:
+def importances(model: Model, rows: DataFrame, repeats: int = 5, seed: int = 7) -> dict[str, float]:
     """Loss of macro-F1 when one feature's values are dealt out anew; clipped at 0 and normalised."""
-    rows = rows.select(*model.features, "label", "seq").withColumn("_slot", F.row_number().over(W.orderBy("seq", "label"))).cache()
+    rows = numbered_rows(rows.select(*model.features, "label", "seq"), ["seq", "label"], "_slot").cache()
     base, loss = macro_f1(model.pipeline.transform(rows)), {}
     for f in model.features:
         drops = []
         for i in range(repeats):
-            other = rows.select(F.row_number().over(W.orderBy(F.xxhash64(F.lit(seed + i), F.lit(f), "seq", "label"))).alias("_slot"), F.col(f).alias("_new"))
+            other = rows.select(F.xxhash64(F.lit(seed + i), F.lit(f), "seq", "label").alias("_by"), F.col(f).alias("_new"), "seq", "label")
+            other = numbered_rows(other, ["_by", "seq", "label"], "_slot").select("_slot", "_new")
             moved = rows.join(other, "_slot").withColumn(f, F.col("_new")).drop("_new")
             drops.append(base - macro_f1(model.pipeline.transform(moved)))
         loss[f] = max(0.0, sum(drops) / repeats)

@@ -10,6 +10,7 @@ from vigil.functions.scoring import severity, severity_score
 from vigil.lineage import cut
 from vigil.operators.base import detections
 from vigil.params import STAGES, Fusion
+from vigil.plans.ordered import numbered_rows
 
 ORDER = ["event_end", "event_start", "threat_class", "entity", "confidence", "sub_type", "flow_id"]
 
@@ -113,9 +114,9 @@ def fuse(found: DataFrame, assets: DataFrame | None = None, allow: DataFrame | N
 
 
 def numbered(alerts: DataFrame, sensor: str = "sensor", after: int = 0) -> DataFrame:
-    """Alerts with running identifiers; alerts are few, and the order is total."""
-    nth = F.row_number().over(W.orderBy("detected_at", "event_start", "threat_class", "entity")) + after
-    return alerts.withColumn("alert_id", F.format_string(f"{sensor}-%07d", nth))
+    """Alerts with running identifiers in order of detection, numbered by ranges."""
+    out = numbered_rows(alerts, ["detected_at", "event_start", "threat_class", "entity"], "_nth")
+    return out.withColumn("alert_id", F.format_string(f"{sensor}-%07d", F.col("_nth") + after)).drop("_nth")
 
 
 def recent(alerts: DataFrame, limit: int = 100, severity_is: str | None = None, threat_class: str | None = None) -> DataFrame:

@@ -83,6 +83,7 @@ class ScanProcessor(StatefulProcessor):
         self.p = p
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.walk = handle.getValueState("walk", "first double, last double, score double, n long, failed long, next long")
         self.targets = handle.getMapState("targets", "dst_ip string, dst_port int", "seen boolean")
 
@@ -108,18 +109,28 @@ class ScanProcessor(StatefulProcessor):
                 limit = 2 * n
                 out.append((key[0], n, score, int(failed), first, last))
         self.walk.update((first, last, score, n, int(failed), limit))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(int((last + p.gap_s) * 1000) + 1)
         if out:
             yield pd.DataFrame(out, columns=["src_ip", "n", "score", "failed", "first_ts", "last_ts"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The gap has passed in event time, so the session is over and its state goes."""
+        self.walk.clear()
+        self.targets.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def scan_stream(flows: DataFrame, p: Scan = Scan()) -> DataFrame:
-    """Firings of the scan detector as flows arrive."""
+def scan_stream(flows: DataFrame, p: Scan = Scan(), late: str = "30 seconds") -> DataFrame:
+    """Firings of the scan detector as flows arrive; a source's state goes once the watermark has passed its session's gap."""
     reply = probable_reply(F.col("mode"), F.col("src_port"), F.col("dst_port"))
-    tcp = flows.filter((F.col("proto") == TCP) & (F.col("export_index") == 0) & ~reply).select("src_ip", "dst_ip", "dst_port", "seq", "first_ts", "last_ts", "synack_seen")
-    return tcp.groupBy("src_ip").transformWithStateInPandas(ScanProcessor(p), SCAN_FIRING, "Update", "None")
+    event_time = F.timestamp_micros(F.round(F.col("last_ts") * 1e6).cast("long"))
+    tcp = flows.filter((F.col("proto") == TCP) & (F.col("export_index") == 0) & ~reply).select("src_ip", "dst_ip", "dst_port", "seq", "first_ts", "last_ts", "synack_seen", event_time.alias("event_time"))
+    return tcp.withWatermark("event_time", late).groupBy("src_ip").transformWithStateInPandas(ScanProcessor(p), SCAN_FIRING, "Append", "EventTime")
 
 
 def flood_windows(flows: DataFrame, window_s: int = 5, late: str = "30 seconds") -> DataFrame:
