@@ -19,7 +19,7 @@ from vigil.operators.ddos import ddos  # noqa: E402
 from vigil.operators.exfil import uploads  # noqa: E402
 from vigil.operators.scan import scans  # noqa: E402
 
-HEADLINE = ["window_entropy", "scan_sessions", "ewma_zscore", "upload_top_dst", "running_prevalence", "dns_features", "community_id", "ja3_md5", "dedup_islands", "campaign_chain", "nearest_rank_p95", "scan_alerts", "upload_alerts", "alerts_fused"]
+HEADLINE = ["window_entropy", "scan_sessions", "ewma_zscore", "upload_top_dst", "running_prevalence", "dns_features", "community_id", "ja3_md5", "dedup_islands", "campaign_alerts", "nearest_rank_p95", "scan_alerts", "upload_alerts", "alerts_fused"]
 FLOWS = int(os.environ.get("BENCH_FLOWS", "1000000"))
 
 

@@ -18,17 +18,17 @@ from vigil.functions.features import flow_features
 from vigil.functions.scoring import Signal, combine, severity, severity_score
 from vigil.gen.scenarios import mixed
 from vigil.lineage import cut
-from vigil.ml.train import report
+from vigil.ml.train import report, split
 from vigil.operators.base import anchored, doubled, first_values
-from vigil.operators.beacon import beacons
-from vigil.operators.ddos import ddos, ddos_windows
+from vigil.operators.ddos import ddos_windows
 from vigil.operators.exfil import oriented, uploads
 from vigil.operators.registry import Context, detect
 from vigil.operators.scan import contacts, scans
-from vigil.params import Baseline, Beacon, Ddos, Exfil, Fusion, Scan
-from vigil.plans.fusion import fuse, merged
+from vigil.params import Baseline, Ddos, Exfil, Fusion, Scan
+from vigil.plans.fusion import allowed_out, fuse, merged, recent
 from vigil.plans.ledger import chain
-from vigil.sources.readers import Intel
+from vigil.plans.ordered import nearest_ranks
+from vigil.sources.readers import Intel, labelled_flows
 
 DAY = 86_400.0
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -274,8 +274,9 @@ def severity_levels(spark, sf):
 
 @query("allowlist_anti", "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING')")
 def allowlist_anti(spark, sf):
-    allow = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(allow, "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
+    allow = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("string").alias("ip"))
+    found = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_custkey").cast("string").alias("src"), F.lit("-").alias("dst"))
+    return allowed_out(found, allow).select("o_orderkey", "o_custkey")
 
 
 @query("cidr_join", f"""WITH {FLOWS_SQL} SELECT dst_ip LIKE '203.0.113.%' AS test_net, count(*) AS n, sum(bytes_fwd)::BIGINT AS bytes FROM flows GROUP BY ALL""")
@@ -290,41 +291,26 @@ def dedup_islands(spark, sf):
     return merged(_findings(flows(spark, sf)), Fusion(dedup_s=100_000.0)).select(F.col("host").alias("src_ip"), F.col("dst").alias("dst_ip"), F.col("event_start").alias("start"), F.col("event_end").alias("ends"), F.col("events_merged").alias("merged"))
 
 
-def _findings(rows: DataFrame) -> DataFrame:
+def _findings(rows: DataFrame, confidence: Column | None = None) -> DataFrame:
     """Every flow as a detection."""
     from vigil.operators.base import detections
 
     return detections(
         rows, threat_class=F.col("event_type"), sub_type="flow", entity=F.concat("src_ip", F.lit(">"), "dst_ip"), host=F.col("src_ip"), src=F.col("src_ip"), dst=F.col("dst_ip"), dst_port=F.col("dst_port").cast("string"), proto="TCP", flow_id=F.col("flow_id"),
-        event_start=F.col("first_ts"), event_end=F.col("last_ts"), confidence=F.lit(0.9), evidence=F.expr("cast(map() as map<string,struct<observed:string,observed_num:double,reference:string>>)"), factors=F.expr("cast(array() as array<struct<feature:string,contribution:double>>)"),
+        event_start=F.col("first_ts"), event_end=F.col("last_ts"), confidence=F.lit(0.9) if confidence is None else confidence, evidence=F.expr("cast(map() as map<string,struct<observed:string,observed_num:double,reference:string>>)"), factors=F.expr("cast(array() as array<struct<feature:string,contribution:double>>)"),
         summary="", action="", mitre=[F.lit("T0000")], model="adapter", model_version="1.0", asset_ip=F.col("src_ip"),
     )
 
 
-@query("campaign_chain", f"""WITH {FLOWS_SQL} SELECT a.src_ip, a.seq, count(DISTINCT b.event_type) AS stages FROM flows a JOIN flows b ON a.src_ip = b.src_ip AND b.t BETWEEN a.t - 50000 AND a.t GROUP BY a.src_ip, a.seq HAVING count(DISTINCT b.event_type) >= 2""")
-def campaign_chain(spark, sf):
-    near = W.partitionBy("src_ip").orderBy("first_ts").rangeBetween(-50_000, 0)
-    return flows(spark, sf).withColumn("stages", F.size(F.collect_set("event_type").over(near)).cast("long")).filter("stages >= 2").select("src_ip", "seq", "stages")
-
-
 @query("recent_alerts", f"WITH {FLOWS_SQL} SELECT seq, src_ip, t FROM flows WHERE event_type = 'error' ORDER BY t DESC, seq LIMIT 50")
 def recent_alerts(spark, sf):
-    return flows(spark, sf).filter("event_type = 'error'").orderBy(F.desc("last_ts"), "seq").limit(50).select("seq", "src_ip", F.col("last_ts").alias("t"))
+    alerts = flows(spark, sf).withColumns({"event_end": F.col("last_ts"), "alert_key": F.col("seq"), "threat_class": F.col("event_type")})
+    return recent(alerts, 50, threat_class="error").select("seq", "src_ip", F.col("last_ts").alias("t"))
 
 
 @query("nearest_rank_p95", "SELECT l_returnflag, list_sort(list(l_extendedprice))[least(count(*), floor(count(*) * 0.95)::BIGINT + 1)] AS p95, list_sort(list(l_extendedprice))[least(count(*), floor(count(*) * 0.5)::BIGINT + 1)] AS p50 FROM lineitem GROUP BY l_returnflag")
 def nearest_rank_p95(spark, sf):
-    """Exact ranks without gathering a group: counts by price range find the range of a rank, then only that range is sorted."""
-    per = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_extendedprice").agg(F.count("*").alias("n")).withColumn("range", F.floor(F.col("l_extendedprice") / 500))
-    ranges = per.groupBy("l_returnflag", "range").agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(W.partitionBy("l_returnflag"))
-    ranges = ranges.withColumn("upto", F.sum("n").over(W.partitionBy("l_returnflag").orderBy("range"))).withColumn("total", total)
-    wanted = ranges.select("*", F.explode(F.array(F.lit(0.95), F.lit(0.5))).alias("q")).withColumn("rank", F.least("total", F.floor(F.col("total") * F.col("q")) + 1))
-    wanted = wanted.filter((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n"))).select("l_returnflag", "range", "q", "rank", (F.col("upto") - F.col("n")).alias("before"))
-    inside = per.join(wanted, ["l_returnflag", "range"])
-    inside = inside.withColumn("at", F.col("before") + F.sum("n").over(W.partitionBy("l_returnflag", "q").orderBy("l_extendedprice"))).filter(F.col("at") >= F.col("rank"))
-    found = inside.groupBy("l_returnflag", "q").agg(F.min("l_extendedprice").alias("price"))
-    return found.groupBy("l_returnflag").agg(F.max(F.when(F.col("q") == 0.95, F.col("price"))).alias("p95"), F.max(F.when(F.col("q") == 0.5, F.col("price"))).alias("p50"))
+    return nearest_ranks(table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice", {"p95": 0.95, "p50": 0.5}, 500.0)
 
 
 @query("hash_chain", "SELECT list_reduce(list(n_name || '|' || n_regionkey ORDER BY n_nationkey), lambda h, r: sha256(h || r), repeat('0', 64)) AS head, count(*) AS height FROM nation")
@@ -342,11 +328,9 @@ def flow_features_query(spark, sf):
 
 @query("temporal_split", f"WITH {FLOWS_SQL}, r AS (SELECT event_type, row_number() OVER (ORDER BY seq) AS n, count(*) OVER () AS total FROM flows) SELECT event_type, count(*) FILTER (n <= floor(total * 0.7)) AS train, count(*) FILTER (n > floor(total * 0.7)) AS test FROM r GROUP BY event_type")
 def temporal_split(spark, sf):
-    rows = flows(spark, sf).select("seq", "event_type")
-    n = rows.count()
-    last = rows.orderBy("seq").offset(max(0, int(n * 0.7) - 1)).limit(1).first()
-    early = F.col("seq") <= (last["seq"] if last else -1)
-    return rows.groupBy("event_type").agg(F.count_if(early).alias("train"), F.count_if(~early).alias("test"))
+    train, test = split(flows(spark, sf).select("seq", "event_type"), how="temporal")
+    both = train.withColumn("early", F.lit(True)).unionByName(test.withColumn("early", F.lit(False)))
+    return both.groupBy("event_type").agg(F.count_if("early").alias("train"), F.count_if(~F.col("early")).alias("test"))
 
 
 @query("confusion_f1", """WITH c AS (SELECT quality AS label, toxic AS predicted FROM labels), l AS (SELECT DISTINCT label FROM c)
@@ -360,8 +344,8 @@ def confusion_f1(spark, sf):
 
 @query("label_map", "SELECT CASE event_type WHEN 'error' THEN 'recon_scan' WHEN 'purchase' THEN 'exfiltration' WHEN 'view' THEN 'benign' END AS label, count(*) AS n FROM events WHERE event_type IN ('error', 'purchase', 'view') GROUP BY 1")
 def label_map(spark, sf):
-    names = F.create_map(*[F.lit(x) for p in {"error": "recon_scan", "purchase": "exfiltration", "view": "benign"}.items() for x in p])
-    return table(spark, sf, "events").select(F.try_element_at(names, F.col("event_type")).alias("label")).filter("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n"))
+    raw = table(spark, sf, "events").select(F.col("event_type").alias("Label"), *[F.lit("1").alias(n) for n in ("duration_us", "fwd_packets", "bwd_packets", "fwd_bytes", "bwd_bytes")])
+    return labelled_flows(raw, {"error": "recon_scan", "purchase": "exfiltration", "view": "benign"}).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("scan_alerts", f"""WITH {FLOWS_SQL}, f AS (SELECT src_ip, dst_ip, port, min(seq) AS seq, arg_min(ok, seq) AS ok FROM flows GROUP BY ALL),
@@ -386,21 +370,6 @@ def upload_alerts(spark, sf):
     return found.select("host", (F.floor(F.col("event_end") / DAY) * DAY).alias("day"), F.col("evidence")["bytes_out_mib"]["observed_num"].alias("sent"))
 
 
-@query("flood_alerts")
-def flood_alerts(spark, sf):
-    """Floods with day windows; the walk through each target's baseline has no plain SQL."""
-    found = ddos(flows(spark, sf), Ddos(window_s=DAY, flows_per_s=60 / DAY, entropy_bits=5.0, syn_only=0.1))
-    return found.select("entity", "sub_type", "confidence", "event_start", "event_end")
-
-
-@query("beacon_alerts")
-def beacon_alerts(spark, sf):
-    """Pairs of user and target with loose limits."""
-    rows = flows(spark, sf).withColumn("dst_port", F.lit(443))
-    found = beacons(rows, Beacon(connections=4, interval_cv=0.6, bytes_cv=2.0, min_confidence=0.4))
-    return found.select("entity", "confidence", "event_start", "event_end", "flow_id")
-
-
 @query("alerts_fused")
 def alerts_fused(spark, sf):
     """Flagship: detections over the events table, fused with customers as assets, and the seeded scenarios beside them."""
@@ -417,3 +386,6 @@ def scenario_alerts(spark, sf):
 
     alerts = fuse(detect({k: cut(v) for k, v in mixed(spark).items()}, Context(intel=Intel(ja3={BAD_JA3}))))
     return alerts.select("alert_key", "threat_class", "sub_type", "entity", "confidence", "severity", "events_merged")
+
+
+from vigil import catalog_detect  # noqa: E402, F401 (registers more queries with what is above)
