@@ -348,28 +348,6 @@ def label_map(spark, sf):
     return labelled_flows(raw, {"error": "recon_scan", "purchase": "exfiltration", "view": "benign"}).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("scan_alerts", f"""WITH {FLOWS_SQL}, f AS (SELECT src_ip, dst_ip, port, min(seq) AS seq, arg_min(ok, seq) AS ok FROM flows GROUP BY ALL),
-c AS (SELECT src_ip, list(CASE WHEN ok THEN -ln(4.0::DOUBLE) ELSE ln(4.0::DOUBLE) END ORDER BY seq) AS w FROM f GROUP BY src_ip),
-w AS (SELECT src_ip, list_reduce(list_transform(w, lambda x: {{'s': x, 'n': 0, 'next': 0, 'fired': []::INTEGER[]}}),
-  lambda a, x: {{'s': CASE WHEN a.s + x.s <= -ln(99.0::DOUBLE) THEN 0.0::DOUBLE ELSE a.s + x.s END, 'n': a.n + 1,
-    'next': CASE WHEN a.s + x.s >= ln(99.0::DOUBLE) AND a.n + 1 >= a.next THEN 2 * (a.n + 1) ELSE a.next END,
-    'fired': CASE WHEN a.s + x.s >= ln(99.0::DOUBLE) AND a.n + 1 >= a.next THEN list_append(a.fired, a.n + 1) ELSE a.fired END}},
-  {{'s': 0.0::DOUBLE, 'n': 0, 'next': 3, 'fired': []::INTEGER[]}}).fired AS fired FROM c)
-SELECT src_ip, unnest(fired)::INTEGER AS targets FROM w""")
-def scan_alerts(spark, sf):
-    found = scans(flows(spark, sf), Scan(gap_s=1e9, targets=3, min_confidence=0.0))
-    return found.select(F.col("entity").alias("src_ip"), F.col("evidence")["distinct_targets"]["observed_num"].cast("int").alias("targets"))
-
-
-@query("upload_alerts", f"""WITH {FLOWS_SQL}, r AS (SELECT src_ip, day, seq, sum(bytes_fwd) OVER (PARTITION BY src_ip, day ORDER BY seq)::DOUBLE AS v FROM flows),
-f AS (SELECT src_ip, day, list_reduce(list_transform(list(v ORDER BY seq), lambda x: {{'next': x, 'fired': []::DOUBLE[]}}),
-  lambda a, x: CASE WHEN x.next >= a.next THEN {{'next': 2 * x.next, 'fired': list_append(a.fired, x.next)}} ELSE a END, {{'next': 5000.0::DOUBLE, 'fired': []::DOUBLE[]}}).fired AS fired FROM r GROUP BY ALL)
-SELECT src_ip AS host, day, round(unnest(fired) / 1048576, 4) AS sent FROM f""")
-def upload_alerts(spark, sf):
-    found = uploads(flows(spark, sf), Exfil(window_s=DAY, bytes_out=5000.0, min_confidence=0.0))
-    return found.select("host", (F.floor(F.col("event_end") / DAY) * DAY).alias("day"), F.col("evidence")["bytes_out_mib"]["observed_num"].alias("sent"))
-
-
 @query("alerts_fused")
 def alerts_fused(spark, sf):
     """Flagship: detections over the events table, fused with customers as assets, and the seeded scenarios beside them."""

@@ -14,8 +14,10 @@ from vigil.catalog import DAY, FLOWS_SQL, NAMES_SQL, HOSTS_SQL, _findings, flows
 from vigil.operators.beacon import beacons
 from vigil.operators.ddos import ddos
 from vigil.operators.dns import generated_names, tunnels
+from vigil.operators.exfil import uploads
+from vigil.operators.scan import scans
 from vigil.operators.tls import tls_clients
-from vigil.params import STAGES, Beacon, Ddos, Dga, Fusion, Tls, Tunnel
+from vigil.params import STAGES, Beacon, Ddos, Dga, Exfil, Fusion, Scan, Tls, Trw, Tunnel
 from vigil.plans.fusion import campaigns, fuse
 
 WINDOW = 200_000.0
@@ -182,6 +184,55 @@ def flood_alerts(spark, sf):
     return found.select("entity", "sub_type", "confidence", "flow_id", "event_start", "event_end", seen("unique_sources"), seen("src_ip_entropy_bits"), seen("syn_only_ratio"), names())
 
 
+_SCAN = combine_sql([("trw_score", "score", Trw().upper, 0.4, True), ("distinct_targets", "n", 3, 0.35, True), ("failed_ratio", "failed / n::DOUBLE", 0.5, 0.25, True)])
+_NONE = "[]::STRUCT(n INTEGER, score DOUBLE, failed INTEGER)[]"
+_MOVED = "(CASE WHEN a.s + x.s <= -ln(99.0::DOUBLE) THEN 0.0::DOUBLE ELSE a.s + x.s END)"
+
+
+@query("scan_alerts", f"""WITH {FLOWS_SQL}, f AS (SELECT src_ip, dst_ip, port, min(seq) AS seq, arg_min(ok, seq) AS ok FROM flows GROUP BY ALL),
+c AS (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY seq) AS nth FROM f),
+ends AS (SELECT seq, max(t) OVER (PARTITION BY src_ip ORDER BY seq) AS so_far FROM flows),
+w AS (SELECT src_ip, list_reduce(list_transform(list(ok ORDER BY seq), lambda x: {{'s': CASE WHEN x THEN -ln(4.0::DOUBLE) ELSE ln(4.0::DOUBLE) END, 'n': 0, 'failed': (NOT x)::INTEGER, 'next': 0, 'fired': {_NONE}}}),
+  lambda a, x: {{'s': {_MOVED}, 'n': a.n + 1, 'failed': a.failed + x.failed, 'next': CASE WHEN {_MOVED} >= ln(99.0::DOUBLE) AND a.n + 1 >= a.next THEN 2 * (a.n + 1) ELSE a.next END,
+    'fired': CASE WHEN {_MOVED} >= ln(99.0::DOUBLE) AND a.n + 1 >= a.next THEN list_append(a.fired, {{'n': a.n + 1, 'score': {_MOVED}, 'failed': a.failed + x.failed}}) ELSE a.fired END}},
+  {{'s': 0.0::DOUBLE, 'n': 0, 'failed': 0, 'next': 3, 'fired': {_NONE}}}).fired AS fired FROM c GROUP BY src_ip),
+h AS (SELECT src_ip, unnest(fired, recursive := true) FROM w),
+shape AS (SELECT h.src_ip, h.n, count(DISTINCT dst_ip) AS hosts, count(DISTINCT port) AS ports, arg_min('e' || seq, seq) AS flow_id, max(seq) AS seq FROM h JOIN c ON c.src_ip = h.src_ip AND c.nth <= h.n GROUP BY ALL)
+SELECT src_ip AS entity, n::DOUBLE AS distinct_targets, {_SCAN[0]} AS confidence, hosts::DOUBLE AS distinct_hosts, ports::DOUBLE AS distinct_ports, round(failed / n::DOUBLE, 4) AS failed_connection_ratio, round(score, 4) AS trw_log_likelihood,
+  CASE WHEN ports >= 5 * hosts THEN 'Vertical port scan' WHEN hosts >= 5 * ports THEN 'Horizontal host sweep' ELSE 'Block scan' END AS sub_type, flow_id, so_far AS event_end, {_SCAN[1]} AS factors
+FROM h JOIN shape USING (src_ip, n) JOIN ends USING (seq) WHERE {_SCAN[0]} >= 0.5""")
+def scan_alerts(spark, sf):
+    found = scans(flows(spark, sf), Scan(gap_s=1e9, targets=3))
+    return found.select("entity", seen("distinct_targets"), "confidence", seen("distinct_hosts"), seen("distinct_ports"), seen("failed_connection_ratio"), seen("trw_log_likelihood"), "sub_type", "flow_id", "event_end", names())
+
+
+_UPLOAD = [("upload_volume", "sent", 5000, 0.35, True), ("pcr", "1", 0.8, 0.35, True), ("upload_zscore", "greatest(z, 0)", 4, 0.3, True)]
+_KNOWN, _NEW = combine_sql(_UPLOAD), combine_sql(_UPLOAD[:2])
+
+
+@query("upload_alerts", f"""WITH {FLOWS_SQL}, r AS (SELECT src_ip AS host, day, seq, t, dst_ip, bytes_fwd, sum(bytes_fwd) OVER (PARTITION BY src_ip, day ORDER BY seq)::DOUBLE AS v FROM flows),
+l AS (SELECT host, day, list_reduce(list_transform(list(v ORDER BY seq), lambda x: {{'next': x, 'fired': []::DOUBLE[]}}),
+  lambda a, x: CASE WHEN x.next >= a.next THEN {{'next': 2 * x.next, 'fired': list_append(a.fired, x.next)}} ELSE a END, {{'next': 5000.0::DOUBLE, 'fired': []::DOUBLE[]}}).fired AS fired FROM r GROUP BY host, day),
+f AS (SELECT host, day, unnest(fired) AS sent FROM l),
+hit AS (SELECT f.host, f.day, f.sent, min(r.seq) AS upto FROM f JOIN r ON r.host = f.host AND r.day = f.day AND r.v = f.sent GROUP BY ALL),
+parts AS (SELECT hit.host, hit.day, hit.sent, r.dst_ip, sum(r.bytes_fwd) AS b, min(r.seq) AS s FROM hit JOIN r ON r.host = hit.host AND r.day = hit.day AND r.seq <= hit.upto AND r.bytes_fwd > 0 GROUP BY ALL),
+tops AS (SELECT host, day, sent, arg_max(dst_ip, {{'b': b, 's': -s}}) AS top, max(b) AS top_bytes FROM parts GROUP BY ALL),
+ends AS (SELECT hit.host, hit.day, hit.sent, max(r.t) AS event_end, min(r.t) AS event_start FROM hit JOIN r ON r.host = hit.host AND r.day = hit.day AND r.seq <= hit.upto GROUP BY ALL),
+since AS (SELECT host, dst_ip AS top, min(day) AS since FROM r WHERE bytes_fwd > 0 GROUP BY ALL),
+sums AS (SELECT host, day, sum(bytes_fwd)::DOUBLE AS v FROM r GROUP BY ALL),
+past AS (SELECT hit.host, hit.day, hit.sent, coalesce(list(s.v ORDER BY s.day) FILTER (s.v IS NOT NULL), []::DOUBLE[]) AS past FROM hit LEFT JOIN sums s ON s.host = hit.host AND s.day < hit.day AND s.v < 5000 GROUP BY ALL),
+based AS (SELECT *, list_reduce(list_transform(past, lambda x: {{'n': 0, 'm': x, 'v': 0.0::DOUBLE}}),
+  lambda a, x: {{'n': a.n + 1, 'm': CASE WHEN a.n = 0 THEN x.m ELSE a.m + 0.1::DOUBLE * (x.m - a.m) END, 'v': CASE WHEN a.n = 0 THEN 0.0::DOUBLE ELSE 0.9::DOUBLE * (a.v + (x.m - a.m) * (0.1::DOUBLE * (x.m - a.m))) END}},
+  {{'n': 0, 'm': 0.0::DOUBLE, 'v': 0.0::DOUBLE}}) AS s FROM past),
+judged AS (SELECT *, CASE WHEN s.n >= 5 THEN (sent - s.m) / greatest(sqrt(s.v), 0.1 * abs(s.m), 1.0) END AS z FROM based JOIN tops USING (host, day, sent) JOIN ends USING (host, day, sent) JOIN since USING (host, top)),
+rated AS (SELECT *, CASE WHEN z IS NULL THEN {_NEW[0]} ELSE {_KNOWN[0]} END AS confidence, CASE WHEN z IS NULL THEN {_NEW[1]} ELSE {_KNOWN[1]} END AS factors FROM judged)
+SELECT host || '>' || top AS entity, CASE WHEN since >= day THEN 'Bulk upload to a new destination' ELSE 'Bulk upload' END AS sub_type, confidence, event_start, event_end, round(sent / 1048576, 4) AS bytes_out_mib,
+  round(z, 4) AS upload_zscore, round(top_bytes / sent, 4) AS top_destination_share, factors FROM rated WHERE confidence >= 0.5""")
+def upload_alerts(spark, sf):
+    found = uploads(flows(spark, sf), Exfil(window_s=DAY, bytes_out=5000.0))
+    return found.select("entity", "sub_type", "confidence", "event_start", "event_end", seen("bytes_out_mib"), seen("upload_zscore"), seen("top_destination_share"), names())
+
+
 _CLASSES = {"click": "dga", "view": "c2_beacon", "purchase": "exfiltration", "error": "recon_scan", "signup": "ddos"}
 _LIVE = "STRUCT(t DOUBLE, s INTEGER, id VARCHAR)[]"
 _OUT = f"STRUCT(live {_LIVE}, t DOUBLE)[]"
