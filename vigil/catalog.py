@@ -366,4 +366,4 @@ def scenario_alerts(spark, sf):
     return alerts.select("alert_key", "threat_class", "sub_type", "entity", "confidence", "severity", "events_merged")
 
 
-from vigil import catalog_detect  # noqa: E402, F401 (registers more queries with what is above)
+from vigil import catalog_detect, catalog_sources  # noqa: E402, F401 (register more queries with what is above)

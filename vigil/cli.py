@@ -1,4 +1,4 @@
-"""Command line: synth, replay, flow-json, verify-log, intel-manifest, bench, schema."""
+"""Command line: synth, replay, flow-json, netflow, verify-log, intel-manifest, bench, schema."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from vigil.operators.registry import Context, detect
 from vigil.plans.fusion import fuse, metrics
 from vigil.plans.ledger import Ledger, verify_file
 from vigil.schema import to_json_schema
-from vigil.sources.readers import Intel, Settings, read_json_flows, read_pcap, write_manifest
+from vigil.sources.readers import Intel, Settings, read_json_flows, read_netflow, read_pcap, write_manifest
 
 
 def session() -> SparkSession:
@@ -26,12 +26,12 @@ def main(argv: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="vigil")
     verbs = top.add_subparsers(dest="verb", required=True)
     for name, args in {
-        "synth": ["out"], "replay": ["path", "ledger"], "flow-json": ["path", "ledger"], "verify-log": ["path"], "intel-manifest": ["folder"], "bench": ["flows"], "schema": [],
+        "synth": ["out"], "replay": ["path", "ledger"], "flow-json": ["path", "ledger"], "netflow": ["path", "ledger"], "verify-log": ["path"], "intel-manifest": ["folder"], "bench": ["flows"], "schema": [],
     }.items():
         p = verbs.add_parser(name)
         for a in args:
             p.add_argument(a)
-        if name in ("replay", "flow-json"):
+        if name in ("replay", "flow-json", "netflow"):
             p.add_argument("--config")
     a = top.parse_args(argv)
     if a.verb == "verify-log":
@@ -46,10 +46,11 @@ def main(argv: list[str] | None = None) -> int:
         for name in SCENARIOS:
             for kind, df in mixed(spark, [name]).items():
                 df.write.mode("overwrite").parquet(f"{a.out}/{name}/{kind}")
-    elif a.verb in ("replay", "flow-json"):
+    elif a.verb in ("replay", "flow-json", "netflow"):
         s = Settings.load(a.config) if a.config else Settings()
         context = Context(s.internal_networks, Intel.load(s.intel_dir) if s.intel_dir else None)
-        found = detect(events(read_pcap(spark, a.path)) if a.verb == "replay" else {"flows": read_json_flows(spark, a.path)}, context)
+        read = {"replay": lambda: events(read_pcap(spark, a.path)), "flow-json": lambda: {"flows": read_json_flows(spark, a.path)}, "netflow": lambda: {"flows": read_netflow(spark, a.path)}}
+        found = detect(read[a.verb](), context)
         alerts = fuse(found, s.asset_table(spark) if s.assets else None, s.allow_table(spark) if s.allowlist else None, sensor=s.sensor_id, mode="pcap" if a.verb == "replay" else "flow").cache()
         Ledger(a.ledger).write(alerts, ["event_end", "alert_key"])
         metrics(alerts).show()

@@ -10,6 +10,20 @@ from vigil.operators.base import detections, first_values
 from vigil.params import Tls
 
 
+#: Characters of a list's tokens up to which it is broadcast.
+SMALL_LIST = 8 << 20
+
+
+def _on_list(rows: DataFrame, column: str, tokens: set[str]) -> DataFrame:
+    """rows with the column on_<column>: whether its value is one of the tokens. Long lists are joined by shuffling."""
+    name = f"on_{column}"
+    if not tokens:
+        return rows.withColumn(name, F.lit(False))
+    table = rows.sparkSession.createDataFrame([(t,) for t in sorted(tokens)], "_token string")
+    table = F.broadcast(table) if sum(map(len, tokens)) <= SMALL_LIST else table
+    return rows.join(table, F.col(column) == F.col("_token"), "left").withColumn(name, F.col("_token").isNotNull()).drop("_token")
+
+
 def tls_clients(tls: DataFrame, ja3_list: set[str] = frozenset(), ja4_list: set[str] = frozenset(), p: Tls = Tls(), source: str = "offline lists") -> DataFrame:
     """A detection for each blocklisted handshake, and for others whose confidence reaches the limit.
 
@@ -19,10 +33,9 @@ def tls_clients(tls: DataFrame, ja3_list: set[str] = frozenset(), ja4_list: set[
     warmed = (F.col("seq") > warm["last"]) if warm["n"] >= p.warmup else F.lit(False)
     prior = first_values(tls, "ja4", "client_ip", "seq", p.rare_hosts + 2, "users")
     rows = tls.join(prior, "ja4", "left").withColumn("prior", F.expr("size(filter(users, u -> u.first < seq AND u.value <> client_ip))"))
-    listed = F.col("ja3").isin(*ja3_list) if ja3_list else F.lit(False)
-    listed = F.coalesce(listed | (F.col("ja4").isin(*ja4_list) if ja4_list else F.lit(False)), F.lit(False))
+    rows = _on_list(_on_list(rows, "ja3", ja3_list), "ja4", ja4_list)
     named = F.length("sni") > 0
-    rows = rows.withColumn("listed", listed).withColumn("named", F.coalesce(named, F.lit(False))).withColumn("warmed", warmed)
+    rows = rows.withColumn("listed", F.col("on_ja3") | F.col("on_ja4")).withColumn("named", F.coalesce(named, F.lit(False))).withColumn("warmed", warmed)
     confidence, factors = combine([
         Signal("blocklist_match", F.col("listed").cast("int"), p.present, p.w_blocklist),
         Signal("sni_absent", (~F.col("named")).cast("int"), p.present, p.w_sni),

@@ -114,6 +114,13 @@ def decode_netflow(datagrams: DataFrame, column: str = "datagram", seq: str = "s
     return _flow_columns(rows, F.col("seq") * 64 + F.col("nth"), F.col("flags"))
 
 
+def read_netflow(spark: SparkSession, path: str) -> DataFrame:
+    """Flows of a folder of NetFlow v5 datagrams, one a file, in the order in which they were landed."""
+    files = spark.read.format("binaryFile").load(path)
+    seq = F.unix_micros("modificationTime") * 64 + F.pmod(F.xxhash64("path"), F.lit(64))
+    return decode_netflow(files.select(seq.alias("seq"), F.col("content").alias("datagram")))
+
+
 def stream_netflow(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     """Flows of NetFlow v5 datagrams that a collector lands as files, one each."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_trigger).load(path)
