@@ -55,7 +55,7 @@ class Plan:
     hashes: int = 48
     errors: int = 1
     deviations: float = 3.7
-    signature_block: int = 512
+    signature_block: int = 128
     set_block_bytes: int = 4 << 20
     seed: int = 11
 
@@ -370,7 +370,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
     units = _units(open_.join(nodes.select("node", "n", "sig"), "node"), F.lit(1), plan.signature_block)
     left = cut(_by_unit(units, "n", "sig").mapInArrow(near_nodes(plan), "centre long, node long").distinct())
     open_ = open_.join(left, ["centre", "node"]).join(nodes.select("node", "n"), "node")
-    units = _units(open_, F.col("n") * 8, plan.set_block_bytes).join(sets, "node")
+    weight = F.greatest(F.col("n") * 8, F.lit(plan.set_block_bytes // plan.signature_block))  # a block is bounded in bytes and in rows
+    units = _units(open_, weight, plan.set_block_bytes).join(sets, "node")
     more = cut(_by_unit(units, "set").mapInArrow(forests(plan), "u long, v long"))
     if not more.isEmpty():
         roots = components(near.unionByName(more))
