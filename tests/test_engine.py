@@ -133,15 +133,21 @@ def test_models(spark, tmp_path):
     assert t1.count() + t2.count() == rows.count() and t1.agg(F.max("seq")).first()[0] < t2.agg(F.min("seq")).first()[0]
     assert T.augmented(rows.filter("label = 'benign'"), rows.filter("label <> 'benign'"), 50).groupBy("label").count().filter("count < 50").count() == 0
     assert T.hybrid(rows, rows, 30, 20).count() == 30 + 4 * 20
+    model.benign_means = T.benign_means(b, T.FLOW_FEATURES)
+    own = [r.total_bytes for r in b.filter("label = 'benign'").collect()]
+    assert model.benign_means["total_bytes"] == pytest.approx(sum(own) / len(own), abs=1e-4) and T.benign_means(b.limit(0), T.FLOW_FEATURES) == {}
+    model.importances = {"duration_s": 0.1, "total_bytes": 0.5, "bytes_per_s": 0.2, "is_tcp": 0.0, "syn_flag": 0.05, "rst_flag": 0.15}
     T.save(model, str(tmp_path / "m"))
+    assert [f for f, _ in T.load(str(tmp_path / "m")).top_importances()] == ["total_bytes", "bytes_per_s", "rst_flag", "duration_s", "syn_flag"]
     assert T.load(str(tmp_path / "none")) is None and T.load(str(tmp_path / "m")).labels == model.labels
     card = json.loads((tmp_path / "m/card.json").read_text())
     card["sha256"] = "0"
     (tmp_path / "m/card.json").write_text(json.dumps(card))
     with pytest.raises(ValueError):
         T.load(str(tmp_path / "m"))
-    got = detect(SCENARIOS["exfiltration"][0](spark), Context(flow_model=model)).select("model", "threat_class").collect()
-    assert ("ml-flow", "exfiltration") in {tuple(r) for r in got}
+    got = detect(SCENARIOS["exfiltration"][0](spark), Context(flow_model=model)).select("model", "threat_class", "evidence").collect()
+    assert ("ml-flow", "exfiltration") in {(r.model, r.threat_class) for r in got}
+    assert all(r.evidence["importance:total_bytes"].observed_num == 0.5 for r in got if r.model == "ml-flow")
 
 
 def test_dns_model(spark):

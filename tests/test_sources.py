@@ -143,3 +143,15 @@ def test_service(spark, tmp_path):
     assert (got.n, got.p50, got.p95) == (100, 50, 95)
     with pytest.raises(ValueError):
         service.analyse(spark, __file__)
+
+
+def test_captures_are_written_in_order(spark):
+    from vigil.sources.writers import captures
+
+    rows = [(1_789_000_000.5 - i * 0.25, i, f"172.16.0.{i + 1}" if i % 3 else "2001:db8::7", "172.16.9.9" if i % 3 else "2001:db8::9", 1000 + i, 53 if i % 2 else 443, 17 if i % 2 else 6, 60, 0 if i % 2 else 2, bytearray(b"x" * i)) for i in range(12)]
+    df = spark.createDataFrame(rows, "ts double, seq long, src_ip string, dst_ip string, src_port int, dst_port int, proto int, ttl int, tcp_flags int, payload binary").repartition(3)
+    for n in (1, 3):
+        files = captures(df, n).orderBy("part").collect()
+        back = [r for f in files for r in sorted(decode_captures(spark.createDataFrame([("a", bytearray(f.content))], "path string, content binary")).collect(), key=lambda r: r.n)]
+        assert sum(f.n for f in files) == 12
+        assert [(r.ts, r.src_ip, r.dst_port, r.proto, bytes(r.payload)) for r in back] == [(r[0], r[2], r[5], r[6], bytes(r[9])) for r in reversed(rows)]

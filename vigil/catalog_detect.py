@@ -18,7 +18,8 @@ from vigil.operators.exfil import uploads
 from vigil.operators.scan import scans
 from vigil.operators.tls import tls_clients
 from vigil.params import STAGES, Beacon, Ddos, Dga, Exfil, Fusion, Scan, Tls, Trw, Tunnel
-from vigil.plans.fusion import campaigns, fuse
+from vigil.plans.fusion import campaigns, fuse, updates
+from vigil.plans.service import smoothed_rates
 
 WINDOW = 200_000.0
 DNS_SQL = f"""{FLOWS_SQL}, dns AS (
@@ -276,3 +277,23 @@ def alert_projection(spark, sf):
     found = _findings(rows, 0.5 + (F.col("bytes_fwd") % 40) / 100.0)
     alerts = fuse(found, assets, allow, Fusion(dedup_s=100_000.0, min_stages=len(STAGES) + 1))
     return alerts.select("threat_class", "entity", "flow_id", "events_merged", "event_start", "event_end", "confidence", "severity_score", "severity", F.col("asset.name").alias("asset_name"), F.col("asset.zone").alias("asset_zone"), F.col("asset.criticality").alias("criticality"))
+
+
+@query("alert_updates", f"""WITH {FLOWS_SQL}, found AS (SELECT event_type AS threat_class, src_ip || '>' || dst_ip AS entity, t, 'e' || seq AS flow_id, 0.5::DOUBLE + (bytes_fwd % 40) / 100.0::DOUBLE AS c FROM flows),
+g AS (SELECT *, CASE WHEN t - max(t) OVER (PARTITION BY threat_class, entity ORDER BY t, c, flow_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 100000 THEN 0 ELSE 1 END AS fresh FROM found),
+i AS (SELECT *, sum(fresh) OVER w AS island, row_number() OVER w AS n FROM g WINDOW w AS (PARTITION BY threat_class, entity ORDER BY t, c, flow_id)),
+past AS (SELECT *, row_number() OVER v AS nth, list(c) OVER v AS cs, max(t) OVER v AS event_end, min(t) OVER v AS event_start FROM i WINDOW v AS (PARTITION BY threat_class, entity, island ORDER BY n))
+SELECT CASE WHEN nth = 1 THEN 'alert' ELSE 'update' END AS kind, threat_class, entity, event_start, nth::INTEGER AS nth, event_end, nth AS events_merged, flow_id,
+  list_reduce(cs, lambda a, x: CASE WHEN x >= a THEN round(x, 3) ELSE a END, 0.0::DOUBLE) AS confidence FROM past""")
+def alert_updates(spark, sf):
+    rows = flows(spark, sf)
+    return updates(_findings(rows, 0.5 + (F.col("bytes_fwd") % 40) / 100.0), Fusion(dedup_s=100_000.0))
+
+
+@query("smoothed_rate", f"""WITH {FLOWS_SQL}, h AS (SELECT floor(t / 3600)::BIGINT AS second, count(*) AS n FROM flows GROUP BY ALL),
+every AS (SELECT unnest(range((SELECT min(second) FROM h), (SELECT max(second) + 1 FROM h))) AS second),
+w AS (SELECT second, coalesce(n, 0) AS n, list(coalesce(n, 0)::DOUBLE) OVER (ORDER BY second) AS past FROM every LEFT JOIN h USING (second))
+SELECT second, n AS events, round(list_reduce(past, lambda a, x: a + 0.2::DOUBLE * (x - a), past[1]), 6) AS rate FROM w""")
+def smoothed_rate(spark, sf):
+    hours = flows(spark, sf).select((F.col("first_ts") / 3600).alias("ts"))
+    return smoothed_rates(hours).withColumn("rate", F.round("rate", 6))

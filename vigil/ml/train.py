@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -28,6 +28,12 @@ class Model:
     features: list[str]
     labels: list[str]
     version: str = "1.0"
+    importances: dict[str, float] = field(default_factory=dict)
+    benign_means: dict[str, float] = field(default_factory=dict)
+
+    def top_importances(self, n: int = 5) -> list[tuple[str, float]]:
+        """The features that the model's skill depends on most, by falling importance."""
+        return sorted(self.importances.items(), key=lambda x: -x[1])[:n]
 
 
 def flow_rows(raw: DataFrame) -> DataFrame:
@@ -111,6 +117,12 @@ def importances(model: Model, rows: DataFrame, repeats: int = 5, seed: int = 7)
     return {f: v / total for f, v in sorted(loss.items(), key=lambda x: -x[1])}
 
 
+def benign_means(rows: DataFrame, features: list[str], benign: str = "benign") -> dict[str, float]:
+    """Mean of each feature over the benign rows, to four places; empty if there are none."""
+    own = rows.filter(F.col("label") == benign).agg(F.count("*").alias("n"), *[F.round(F.avg(f), 4).alias(f) for f in features]).first()
+    return {f: own[f] for f in features} if own["n"] else {}
+
+
 def _digest(folder: Path) -> str:
     h = hashlib.sha256()
     for p in sorted(x for x in folder.rglob("*") if x.is_file() and not x.name.startswith(".") and x.name != "card.json"):
@@ -122,7 +134,7 @@ def save(model: Model, folder: str, extra: dict | None = None) -> Path:
     """The model and a card with the hash of its files."""
     at = Path(folder)
     model.pipeline.write().overwrite().save(str(at / "model"))
-    card = {"version": model.version, "features": model.features, "labels": model.labels, "sha256": _digest(at / "model")} | (extra or {})
+    card = {"version": model.version, "features": model.features, "labels": model.labels, "importances": model.importances, "benign_means": model.benign_means, "sha256": _digest(at / "model")} | (extra or {})
     (at / "card.json").write_text(json.dumps(card, indent=2, sort_keys=True))
     return at / "card.json"
 
@@ -135,4 +147,4 @@ def load(folder: str) -> Model | None:
     card = json.loads((at / "card.json").read_text())
     if _digest(at / "model") != card["sha256"]:
         raise ValueError("the model does not match its card")
-    return Model(PipelineModel.load(str(at / "model")), card["features"], card["labels"], card["version"])
+    return Model(PipelineModel.load(str(at / "model")), card["features"], card["labels"], card["version"], card.get("importances", {}), card.get("benign_means", {}))

@@ -56,6 +56,11 @@ def predicted(rows: DataFrame, model) -> DataFrame:
     return got.withColumn("p", p).drop("features", "rawPrediction", "probability", "prediction").withColumnRenamed("predicted_label", "label")
 
 
+def _top(model) -> dict:
+    """Evidence of the features that the model depends on most."""
+    return {f"importance:{name}": (F.lit(value), "of the model's skill") for name, value in model.top_importances()}
+
+
 def classify_flows(flows: DataFrame, model, networks: tuple[str, ...] = INTERNAL_NETWORKS, p: Ml = Ml()) -> DataFrame:
     rows = predicted(with_flow_features(whole_flows(flows)), model)
     rows = rows.filter((F.col("label") != p.benign) & (F.col("p") >= p.min_confidence) & F.col("label").isin(*FLOW_LABELS))
@@ -67,7 +72,7 @@ def classify_flows(flows: DataFrame, model, networks: tuple[str, ...] = INTERNAL
         event_start=F.col("first_ts"), event_end=F.col("last_ts"), confidence=F.round("p", 4), factors=F.array(F.struct(F.lit("model_probability").alias("feature"), F.round("p", 4).alias("contribution"))),
         summary=F.format_string("The model takes the flow from %s to %s:%d for %s with a chance of %.2f; it moved %,.0f bytes in %.1f s.", "src_ip", "dst_ip", "dst_port", "label", "p", "total_bytes", "duration_s"), action=by_label(F.col("label"), FLOW_LABELS, 2),
         mitre=[by_label(F.col("label"), FLOW_LABELS, 1)], model="ml-flow", model_version=model.version, asset_ip=asset,
-        evidence=evidence({k: (F.col(k), None) for k in ("duration_s", "total_bytes", "bytes_per_s", "down_up_ratio", "fwd_bwd_pkt_ratio")}, {"model_label": (F.col("label"), F.format_string("p=%.2f", "p"))}),
+        evidence=evidence({k: (F.col(k), None) for k in ("duration_s", "total_bytes", "bytes_per_s", "down_up_ratio", "fwd_bwd_pkt_ratio")} | _top(model), {"model_label": (F.col("label"), F.format_string("p=%.2f", "p"))}),
     )
 
 
@@ -82,5 +87,5 @@ def classify_queries(dns: DataFrame, model, p: Ml = Ml()) -> DataFrame:
         rows, threat_class=F.col("label"), sub_type=by_label(F.col("label"), DNS_LABELS, 0), entity=ip, host=ip, src=ip, dst=F.col("resolver_ip"), dst_port=str(DNS_PORT), proto="UDP", flow_id=F.col("flow_id"), event_start=F.col("ts"), event_end=F.col("ts"),
         confidence=F.round("p", 4), factors=F.array(F.struct(F.lit("model_probability").alias("feature"), F.round("p", 4).alias("contribution"))), summary=F.format_string("The model takes the lookup of %s by %s for %s with a chance of %.2f.", "query", ip, "label", "p"),
         action=F.format_string("Look for malware on %s, and have the resolver refuse the name.", ip), mitre=[by_label(F.col("label"), DNS_LABELS, 1)], model="dga-ml", model_version=model.version, asset_ip=ip,
-        evidence=evidence({"record_type": (F.col("qtype"), None)}, {"query": (F.col("query"), None), "model_label": (F.col("label"), F.format_string("p=%.2f", "p"))}),
+        evidence=evidence({"record_type": (F.col("qtype"), None)} | _top(model), {"query": (F.col("query"), None), "model_label": (F.col("label"), F.format_string("p=%.2f", "p"))}),
     )

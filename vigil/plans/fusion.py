@@ -50,6 +50,31 @@ def merged(found: DataFrame, p: Fusion = Fusion()) -> DataFrame:
     return out.withColumnRenamed("_end", "event_end").drop("_first", "_best", "_island")
 
 
+def updates(found: DataFrame, p: Fusion = Fusion()) -> DataFrame:
+    """The records of an alert as its detections come: the first one in full (``alert``), then how it stands after each (``update``).
+
+    kind, nth (from 1 within the alert), confidence, event_end and events_merged as they stand, flow_id of the detection.
+    """
+    key = ["threat_class", "entity"]
+    along = W.partitionBy(*key).orderBy(*[c for c in ORDER if c not in key])
+    before = F.max("event_end").over(along.rowsBetween(W.unboundedPreceding, -1))
+    rows = found.withColumn("_fresh", F.when(before.isNull() | (F.col("event_start") - before > p.dedup_s), 1).otherwise(0))
+    rows = rows.withColumn("_island", F.sum("_fresh").over(along)).withColumn("_nth", F.row_number().over(along))
+    item = F.struct(F.col("_nth").alias("n"), F.col("confidence").alias("c"), F.col("event_end").alias("e"), F.col("flow_id").alias("f"))
+    runs = rows.groupBy(*key, "_island").agg(F.min_by("event_start", "_nth").alias("event_start"), F.sort_array(F.collect_list(item)).alias("items"))
+    start = F.expr("cast(array() as array<struct<confidence:double,event_end:double,flow_id:string>>)")
+
+    def step(a, x):
+        held, end = F.element_at(a, -1)["confidence"], F.element_at(a, -1)["event_end"]
+        better = (F.size(a) == 0) | (x["c"] >= held)
+        now = F.struct(F.when(better, F.round(x["c"], 3)).otherwise(held).alias("confidence"), F.greatest(x["e"], end).alias("event_end"), x["f"].alias("flow_id"))
+        return F.concat(a, F.array(now))
+
+    safe = lambda a, x: F.when(F.size(a) == 0, F.array(F.struct(F.round(x["c"], 3).alias("confidence"), x["e"].alias("event_end"), x["f"].alias("flow_id")))).otherwise(step(a, x))
+    told = runs.select(*key, "event_start", F.posexplode(F.aggregate("items", start, safe)).alias("i", "r"))
+    return told.select(F.when(F.col("i") == 0, "alert").otherwise("update").alias("kind"), *key, "event_start", (F.col("i") + 1).alias("nth"), "r.confidence", "r.event_end", (F.col("i") + 1).cast("long").alias("events_merged"), "r.flow_id")
+
+
 def with_severity(alerts: DataFrame, assets: DataFrame | None, p: Fusion = Fusion()) -> DataFrame:
     """Alerts with their asset and severity; addresses that no asset has get the default criticality."""
     if assets is None:

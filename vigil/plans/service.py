@@ -38,6 +38,25 @@ def latency(samples: DataFrame, column: str) -> DataFrame:
     return samples.agg(F.count(column).alias("n"), p50, p95)
 
 
+def smoothed_rates(events: DataFrame, ts: str = "ts", alpha: float = 0.2) -> DataFrame:
+    """(second, events, rate) for every second from the first to the last: counts and their exponentially smoothed rate.
+
+    The fold goes over one number a second, not over events.
+    """
+    counts = events.groupBy(F.floor(ts).alias("second")).agg(F.count("*").alias("n"))
+    ends = counts.agg(F.min("second").alias("lo"), F.max("second").alias("hi"))
+    every = ends.filter("lo IS NOT NULL").select(F.explode(F.sequence("lo", "hi")).alias("second"))
+    whole = every.join(counts, "second", "left").select("second", F.coalesce("n", F.lit(0)).alias("n"))
+    items = whole.agg(F.sort_array(F.collect_list(F.struct("second", "n"))).alias("s"))
+    start = F.expr("cast(array() as array<struct<second:bigint,events:bigint,rate:double>>)")
+
+    def step(a, x):
+        last = F.when(F.size(a) == 0, x["n"].cast("double")).otherwise(F.try_element_at(a, F.lit(-1))["rate"])
+        return F.concat(a, F.array(F.struct(x["second"].alias("second"), x["n"].alias("events"), (last + alpha * (x["n"] - last)).alias("rate"))))
+
+    return items.select(F.inline(F.aggregate("s", start, step)))
+
+
 def alert_schema(alerts: DataFrame) -> str:
     return to_json_schema(alerts.schema)
 
