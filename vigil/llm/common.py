@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import os
 import tempfile
 import uuid
@@ -87,6 +88,12 @@ def sweep(keep: DataFrame, before: frozenset[str]) -> None:
         _MADE.remove(where)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints of what is done; its cleaner acts when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: A key is hot if it holds more than one in so many rows, so there are fewer hot keys than this; but never with so few rows.
 HOT_SHARE, COOL_ROWS = 2_000, 256
 

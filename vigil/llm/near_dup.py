@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import bounded_batches, cut, frugal, small_side, spread_join, stored, unused
+from vigil.llm.common import bounded_batches, cut, frugal, made, settle, small_side, spread_join, stored, sweep, unused
 
 WORDS = 5
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -282,6 +282,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("u", "v")))
     seen = e.agg(mark).first()[0]
+    before = made()
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
@@ -289,6 +290,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stored(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        sweep(e, before)
+        settle(e.sparkSession)
         now = e.agg(mark).first()[0]
         if now == seen:
             break
@@ -345,6 +348,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
     centres = shared.join(fame, "node").groupBy("key").agg((-F.max(F.struct("fame", -F.col("node")))["col2"]).alias("centre"), F.count("*").alias("n"))
     members = cut(spread_join(shared.drop("n"), cut(centres), ["key"], "n", n_shared, ["node"]).select("centre", "node").distinct())
 
+    settle(df.sparkSession)
     # Texts of the nodes that have a group, by one of their rows; further rows of the same id and text are repeats.
     wanted = members.select("node").distinct().join(nodes, "node").select("node", "id", "h1", "h2")
     first = rows.filter("n > 0").groupBy("h1", "h2", F.col("id").alias("rid")).agg(F.min("th").alias("th"))
@@ -353,6 +357,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
     texts = docs.join(wanted, F.expr("id <=> wid AND th = wth")).select("node", "text").dropDuplicates(["node"])
     sets = stored(texts.select("node", _sets()(F.col("text")).alias("set")))
 
+    settle(df.sparkSession)
     # Stars: every member against its centre.
     star = members.filter("node <> centre").join(nodes.select("node", "n", "sig"), "node")
     counts = cut(members.groupBy("centre").agg(F.count("*").alias("rows")))
@@ -363,6 +368,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
     hubs = counts.join(sets.select(F.col("node").alias("centre"), F.col("set").alias("other")), "centre")
     pairs = spread_join(star.join(sets, "node"), hubs, ["centre"], "rows", n_members, ["node"])
     near = cut(pairs.filter(_linked(plan)(F.col("set"), F.col("other"))).select(F.col("node").alias("u"), F.col("centre").alias("v")))
+    settle(df.sparkSession)
     roots = cut(components(near))
 
     # What may still join two components.
@@ -373,6 +379,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
     weight = F.greatest(F.col("n") * 8, F.lit(plan.set_block_bytes // plan.signature_block))  # a block is bounded in bytes and in rows
     units = _units(open_, weight, plan.set_block_bytes).join(sets, "node")
     more = cut(_by_unit(units, "set").mapInArrow(forests(plan), "u long, v long"))
+    settle(df.sparkSession)
     if not more.isEmpty():
         roots = components(near.unionByName(more))
 
