@@ -48,10 +48,9 @@ def split_name(name: Column) -> dict[str, Column]:
 
 def rare_pairs(label: Column, pairs: tuple[str, ...] | None = None) -> Column:
     """Share of a label's letter pairs that aren't common; 1 without letter pairs, 0 below two characters."""
-    table = F.array(*[F.lit(p) for p in (pairs or common_pairs())])
     every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(label) - 1, F.lit(1))), lambda i: label.substr(i, F.lit(2)))
     letters = F.filter(every, lambda p: p.rlike("^[a-z]{2}$"))
-    rare = F.size(F.filter(letters, lambda p: ~F.array_contains(table, p)))
+    rare = F.size(F.filter(letters, lambda p: ~p.isin(*(pairs or common_pairs()))))
     return F.when(F.length(label) < 2, 0.0).when(F.size(letters) == 0, 1.0).otherwise(rare / F.size(letters))
 
 

@@ -11,9 +11,13 @@ from vigil.params import Baseline, Trw
 
 
 def entropy(counts: Column) -> Column:
-    """Shannon entropy in bits of an array of counts."""
-    total = F.aggregate(counts, F.lit(0.0), lambda a, n: a + n)
-    return F.aggregate(counts, F.lit(0.0), lambda a, n: F.when(n > 0, a - n / total * F.log2(n / total)).otherwise(a))
+    """Shannon entropy in bits of an array of counts, in one pass over it."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("spread"))
+
+    def step(a, n):
+        return F.when(n > 0, F.struct((a["sum"] + n).alias("sum"), (a["spread"] + n * F.log2(n)).alias("spread"))).otherwise(a)
+
+    return F.aggregate(counts, start, step, lambda a: F.when(a["sum"] > 0, F.greatest(F.log2(a["sum"]) - a["spread"] / a["sum"], F.lit(0.0))).otherwise(0.0))
 
 
 def string_entropy(text: Column) -> Column:
