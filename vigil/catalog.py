@@ -74,6 +74,23 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def address(user: str) -> Column:
+    """The IPv4 address of a user's host. FLOWS_SQL names it 10.0.N.M, and N passes 255 from user 64,000 on; what is above carries into the group before, as in the SQL of community_id."""
+    held = F.expr(f"concat('10.', {user} div 64000, '.', {user} div 250 % 256, '.', {user} % 250 + 1)")
+    return F.when(F.col(user) >= 16_384_000, F.raise_error(F.lit("10.0.0.0/8 holds 16,384,000 users"))).otherwise(held)
+
+
+def host_name(ip: Column) -> Column:
+    """The name that FLOWS_SQL has for an address()."""
+    groups = F.split(ip, r"\.")
+    return F.concat(F.lit("10.0."), (groups[1].cast("int") * 256 + groups[2].cast("int")).cast("string"), F.lit("."), groups[3])
+
+
+def addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """flows() with real source addresses, for what puts them on a wire or asks for internal ones."""
+    return flows(spark, sf_dir).withColumn("src_ip", address("user_id"))
+
+
 def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.lower(F.regexp_extract("url", r"^https?://([^/?#:]+)", 1)).alias("host")).distinct()
 

@@ -9,15 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vigil.catalog import FLOWS_SQL, HOSTS_SQL, flows, hosts, query
+from vigil.catalog import FLOWS_SQL, HOSTS_SQL, addressed, flows, host_name, hosts, query
 from vigil.sources.readers import decode_captures, decode_netflow, flows_from_json, parse_dns
 
 MICROS = "epoch_us(ts)"
 
 
 def number(value: Column, size: int) -> Column:
-    """Hex digits of an unsigned number of so many bytes."""
-    return F.lpad(F.lower(F.hex(value.cast("long"))), 2 * size, "0")
+    """Hex digits of an unsigned number of so many bytes; one that doesn't fit is an error."""
+    digits = F.lower(F.hex(value.cast("long")))
+    return F.when(F.length(digits) > 2 * size, F.raise_error(F.concat(F.lit(f"more than {size} bytes: "), digits))).otherwise(F.lpad(digits, 2 * size, "0"))
 
 
 def wire(*parts: Column | str) -> Column:
@@ -59,8 +60,8 @@ FROM flows f JOIN events ON event_id = f.seq""")
 def captured_packets(spark, sf):
     frame = ["02" * 12, "0800", "4500002c", "00000000", "3d060000", ip("src_ip"), ip("dst_ip"), number(F.col("src_port"), 2), number(F.col("dst_port"), 2), "00" * 8, "50", F.when(F.col("synack_seen"), "12").otherwise("02"), "0000" * 3, "7778797a"]
     file = ["a1b2c3d4", "00020004", "00" * 8, "0000ffff", "00000001", number(F.floor(micros() / 1_000_000), 4), number(micros() % 1_000_000, 4), number(F.lit(58), 4), number(F.lit(58), 4)]
-    got = decode_captures(flows(spark, sf).select(F.col("seq").cast("string").alias("path"), wire(*file, *frame).alias("content")))
-    return got.withColumn("payload", F.col("payload").cast("string"))
+    got = decode_captures(addressed(spark, sf).select(F.col("seq").cast("string").alias("path"), wire(*file, *frame).alias("content")))
+    return got.withColumns({"src_ip": host_name(F.col("src_ip")), "payload": F.col("payload").cast("string")})
 
 
 @query("dns_messages", f"WITH {HOSTS_SQL} SELECT host, host AS query, 16 AS qtype, length(host) % 2 = 0 AS is_response, CASE WHEN length(host) % 2 = 0 THEN 3 END::INTEGER AS rcode FROM hosts")
