@@ -245,7 +245,7 @@ def dga_score(spark, sf):
   lpad(lower(hex(port)), 4, '0') AS port FROM flows)
 SELECT seq, '1:' || to_base64(unhex(sha1(unhex('0000' || CASE WHEN a <= b THEN a || b ELSE b || a END || '0600' || CASE WHEN a <= b THEN '9c40' || port ELSE port || '9c40' END)))) AS community FROM e""")
 def community_id(spark, sf):
-    return flows(spark, sf).select("seq", net.community_id(*[F.col(c) for c in ("src_ip", "dst_ip", "src_port", "dst_port", "proto")]).alias("community"))
+    return addressed(spark, sf).select("seq", net.community_id(*[F.col(c) for c in ("src_ip", "dst_ip", "src_port", "dst_port", "proto")]).alias("community"))
 
 
 @query("ja3_md5", """WITH o AS (SELECT l_orderkey, list((l_partkey % 65536)::INTEGER ORDER BY l_linenumber, l_partkey) AS c, list((l_suppkey % 65536)::INTEGER ORDER BY l_linenumber, l_suppkey) AS e FROM lineitem GROUP BY l_orderkey),
