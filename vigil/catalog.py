@@ -201,9 +201,9 @@ def producer_consumer(spark, sf):
 @query("first_contact", f"""WITH {FLOWS_SQL}, d AS (SELECT src_ip AS host, dst_ip, day, min(day) OVER (PARTITION BY src_ip, dst_ip) AS since FROM flows)
 SELECT host, day, count(DISTINCT dst_ip) FILTER (since = day) AS fresh, count(DISTINCT dst_ip) AS contacts FROM d GROUP BY ALL""")
 def first_contact(spark, sf):
-    o = oriented(flows(spark, sf), Exfil(window_s=DAY)).groupBy("host", "remote", "win").agg(F.count("*").alias("n"))
+    o = oriented(addressed(spark, sf), Exfil(window_s=DAY)).groupBy("host", "remote", "win").agg(F.count("*").alias("n"))
     o = o.withColumn("since", F.min("win").over(W.partitionBy("host", "remote")))
-    return o.groupBy("host", F.col("win").alias("day")).agg(F.count_if(F.col("since") == F.col("win")).alias("fresh"), F.count("*").alias("contacts"))
+    return o.groupBy(host_name(F.col("host")).alias("host"), F.col("win").alias("day")).agg(F.count_if(F.col("since") == F.col("win")).alias("fresh"), F.count("*").alias("contacts"))
 
 
 @query("running_prevalence", f"""WITH {FLOWS_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY dst_ip, src_ip ORDER BY seq) = 1 AS new FROM flows)
