@@ -186,9 +186,9 @@ def beacon_cv(spark, sf):
 @query("upload_top_dst", f"""WITH {FLOWS_SQL}, d AS (SELECT src_ip AS host, day, dst_ip, sum(bytes_fwd) AS b, min(seq) AS f FROM flows GROUP BY ALL)
 SELECT host, day, sum(b)::BIGINT AS sent, arg_max(dst_ip, {{'b': b, 'f': -f}}) AS top_dst, max(b)::BIGINT AS top_bytes FROM d GROUP BY host, day""")
 def upload_top_dst(spark, sf):
-    o = oriented(flows(spark, sf), Exfil(window_s=DAY))
+    o = oriented(addressed(spark, sf), Exfil(window_s=DAY))
     d = o.groupBy("host", "win", "remote").agg(F.sum("out").alias("b"), F.min("seq").alias("f"))
-    return d.groupBy("host", F.col("win").alias("day")).agg(F.sum("b").alias("sent"), F.max_by("remote", F.struct("b", -F.col("f"))).alias("top_dst"), F.max("b").alias("top_bytes"))
+    return d.groupBy(host_name(F.col("host")).alias("host"), F.col("win").alias("day")).agg(F.sum("b").alias("sent"), F.max_by("remote", F.struct("b", -F.col("f"))).alias("top_dst"), F.max("b").alias("top_bytes"))
 
 
 @query("producer_consumer", f"""WITH {FLOWS_SQL} SELECT src_ip, round(CASE WHEN sum(bytes_fwd) = 0 THEN 0 ELSE
