@@ -50,9 +50,9 @@ FROM flows f JOIN events ON event_id = f.seq""")
 def netflow_records(spark, sf):
     head = [number(F.lit(5), 2), number(F.lit(1), 2), number(F.lit(10_000), 4), number(F.floor(micros() / 1_000_000), 4), number(micros() % 1_000_000 * 1000, 4), "00" * 8]
     record = [ip("src_ip"), ip("dst_ip"), "00" * 8, number(F.lit(3), 4), number(F.col("bytes_fwd"), 4), number(F.lit(9_000), 4), number(F.lit(9_500), 4), number(F.col("src_port"), 2), number(F.col("dst_port"), 2), "00", F.when(F.col("synack_seen"), "12").otherwise("02"), "06", "00" * 9]
-    got = decode_netflow(flows(spark, sf).select("seq", wire(*head, *record).alias("datagram")))
+    got = decode_netflow(addressed(spark, sf).select("seq", wire(*head, *record).alias("datagram")))
     times = [F.round(c, 6).alias(c) for c in ("first_ts", "last_ts")]
-    return got.select(F.expr("seq div 64").alias("seq"), "src_ip", "dst_ip", "src_port", "dst_port", "proto", "bytes_fwd", "pkts_fwd", *times, "synack_seen")
+    return got.select(F.expr("seq div 64").alias("seq"), host_name(F.col("src_ip")).alias("src_ip"), "dst_ip", "src_port", "dst_port", "proto", "bytes_fwd", "pkts_fwd", *times, "synack_seen")
 
 
 @query("captured_packets", f"""WITH {FLOWS_SQL} SELECT f.seq::VARCHAR AS file, 0::BIGINT AS n, {MICROS} / 1e6 AS ts, src_ip, dst_ip, 40000 AS src_port, port AS dst_port, 6 AS proto, 44 AS ip_len, 61 AS ttl, CASE WHEN ok THEN 18 ELSE 2 END AS tcp_flags, 'wxyz' AS payload
