@@ -24,7 +24,7 @@ def many_users(tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["captured_packets", "community_id", "first_contact", "upload_top_dst", "netflow_records"])
+@pytest.mark.parametrize("name", ["captured_packets", "community_id", "first_contact", "upload_top_dst", "netflow_records", "upload_alerts"])
 def test_many_users(spark, many_users, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{many_users}/events.parquet'")
