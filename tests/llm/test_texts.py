@@ -349,3 +349,28 @@ def test_media_columns(spark):
         assert len(r.contents.rgb) == r.contents.width * r.contents.height * 3
     assert len({hashlib.md5(r.media).hexdigest() for r in got if r.text == "plain text"}) == 1
     assert jpeg.store(odd_rows(spark).limit(0).drop("media")).count() == 0
+
+
+@pytest.mark.parametrize("size", [192, 384 * 8, 384 * 21 + 192])
+def test_media_stages(size):
+    """Dequantisation and chroma upsampling of what the operator itself writes change its samples, as the plain formula has them."""
+    payload = np.random.default_rng(3).integers(0, 256, size, np.uint8).tobytes()
+    image = jpeg.decode(jpeg.encode(payload))
+    assert jpeg.payload_of(image) == payload
+    y, cb, cr = image.components.values()
+    assert (y.wide, y.tall) == (2 * cb.wide, 2 * cb.tall) == (2 * cr.wide, 2 * cr.tall)
+    rgb, steps = image.rgb(), dict(image.quants)
+    u = np.arange(8)
+    basis = np.cos((2 * u[:, None] + 1) * u * np.pi / 16) * np.where(u == 0, np.sqrt(1 / 8), 0.5)
+
+    def sample(c, row, col):
+        block = np.zeros(64)
+        block[jpeg.ZIGZAG] = c.coef[row // 8 * c.wide + col // 8] * steps[c.quant]
+        return np.rint(basis[row % 8] @ block.reshape(8, 8) @ basis[col % 8] + 128).clip(0, 255)
+
+    for row, col in [(0, 0), (3, 9), (9, 3), (15, 14), (image.height - 1, image.width - 1)]:
+        luma, b, r = sample(y, row, col), sample(cb, row // 2, col // 2) - 128, sample(cr, row // 2, col // 2) - 128
+        want = np.clip([luma + 1.402 * r, luma - 0.344136 * b - 0.714136 * r, luma + 1.772 * b], 0, 255)
+        assert np.abs(rgb[row, col] - want).max() <= 1
+    image.quants = {i: np.ones(64, np.int32) for i in steps}
+    assert (image.rgb() != rgb).any()

@@ -9,8 +9,9 @@ refinement of DC) are read as arrays; whatever else the stream holds is read cod
 
 ``encode`` stores bytes losslessly. The format's exact unit is the quantised coefficient, not
 the sample, so a byte is a coefficient: of the 256 values of magnitude 128 to 255 the one whose
-additional bits are the byte. 192 bytes are one 8 x 8 block of each of three components;
-all coefficients are sent with the lowest bit left out in bands, then refined.
+additional bits are the byte. 384 bytes are four 8 x 8 blocks of luma and one of each chroma
+(4:2:0), quantised by steps that grow with the frequency; all coefficients are sent with the
+lowest bit left out in bands, then refined.
 
 Nulls are empty; a payload is padded by spaces to a positive multiple of 192 bytes. Equal
 texts give equal bytes. Repeated rows repeat results; an empty table gives an empty
@@ -33,7 +34,10 @@ from pyspark.sql import functions as F
 from vigil.llm.common import bounded_batches, frugal
 
 UNIT = 192
-WIDE, TALL = 16, 8191
+#: The writer's sampling: blocks of a unit by component; most units across and down.
+SAMPLING = ((2, 2), (1, 1), (1, 1))
+BLOCKS = sum(h * v for h, v in SAMPLING)
+WIDE, TALL = 8, 4095
 BANDS = ((1, 5), (6, 63))
 #: Code tables of the writer: symbols by code length. AC has one short code for size 7, and the end-of-band runs.
 DC_CODES = (b"", b"", b"", bytes(range(12)))
@@ -49,6 +53,8 @@ def _zigzag() -> np.ndarray:
 
 
 ZIGZAG = _zigzag()
+#: Quantisation steps of luma and chroma in zigzag order: small, as the magnitudes are large.
+STEPS = tuple(np.where(ZIGZAG == 0, dc, 1 + (ZIGZAG // 8 + ZIGZAG % 8) // slow).astype(np.uint8).tobytes() for dc, slow in ((4, 6), (3, 4)))
 
 
 @lru_cache(maxsize=1)
@@ -193,6 +199,8 @@ def decode(data: bytes) -> Image:
             continue
         (n,) = struct.unpack_from(">H", data, at)
         body = data[at + 2 : at + n]
+        if len(body) < n - 2:
+            raise ValueError("segment is cut short")
         at += n
         if kind == 0xDB:
             i = 0
@@ -395,8 +403,13 @@ def _spelled(value: int, n: int) -> list[int]:
 
 
 def _dc_bits(values: np.ndarray) -> np.ndarray:
-    """Differences of interleaved DC values (units x components) under DC_TABLE, all of whose codes have four bits."""
-    diff = np.diff(values, axis=0, prepend=np.zeros((1, values.shape[1]), values.dtype)).reshape(-1)
+    """Differences of interleaved DC values (units x blocks) under DC_TABLE, all of whose codes have four bits."""
+    parts, at = [], 0
+    for h, v in SAMPLING:
+        own = values[:, at : at + h * v]
+        parts.append(np.diff(own.reshape(-1), prepend=np.zeros(1, values.dtype)).reshape(own.shape))
+        at += h * v
+    diff = np.concatenate(parts, axis=1).reshape(-1)
     size = np.zeros(len(diff), np.int64)
     for i in range(12):
         size += np.abs(diff) >> i > 0
@@ -408,34 +421,41 @@ def _dc_bits(values: np.ndarray) -> np.ndarray:
 
 def encode(payload: bytes) -> bytes:
     """A progressive JPEG whose quantised coefficients are the payload (a multiple of 192 bytes)."""
-    n = len(payload) // UNIT
+    n = -(-len(payload) // (BLOCKS * 64))
     wide = min(n, WIDE) if n <= WIDE * TALL else -(-n // TALL)
     tall = -(-n // wide)
-    raw = np.frombuffer(payload + b" " * ((wide * tall - n) * UNIT), np.uint8).reshape(-1, 3, 64)
+    raw = np.frombuffer(payload + b" " * (wide * tall * BLOCKS * 64 - len(payload)), np.uint8).reshape(-1, BLOCKS, 64)
     value = raw.astype(np.int16)
     value = np.where(value >= 128, value, value - 255)
     size = np.abs(value)
     half = np.where(value > 0, size >> 1, ~(size >> 1) & 127).astype(np.uint8)  # size 7: one bit of code, seven of value
     odd = (size & 1).astype(np.uint8)
-    frame = struct.pack(">BHHB", 8, tall * 8, wide * 8, 3) + b"".join(bytes([c, 0x11, 0]) for c in (1, 2, 3))
+    most_h, most_v = (max(x) for x in zip(*SAMPLING, strict=True))
+    sampled = b"".join(bytes([i + 1, h << 4 | v, i > 0]) for i, (h, v) in enumerate(SAMPLING))
+    frame = struct.pack(">BHHB", 8, tall * most_v * 8, wide * most_h * 8, len(SAMPLING)) + sampled
+    image = Image()
+    image.frame(frame)
+    order = _placed(image)
     out = [
         b"\xff\xd8",
         _segment(0xFE, b"payload=%d" % len(payload)),
-        _segment(0xDB, b"\0" + b"\1" * 64),
+        _segment(0xDB, b"\0" + STEPS[0] + b"\1" + STEPS[1]),
         _segment(0xC2, frame),
         _segment(0xC4, b"\x00" + DC_TABLE + b"\x10" + AC_TABLE),
         _sos((1, 2, 3), 0, 0, 0, 1),
         _packed(_dc_bits(value[:, :, 0].astype(np.int64) >> 1)),
     ]
+    rows = half.reshape(-1, 64)
     for first, last in BANDS:
-        for c in range(3):
-            out += [_sos((c + 1,), first, last, 0, 1), half[:, c, first : last + 1].tobytes()]
+        for c, blocks in enumerate(order):
+            out += [_sos((c + 1,), first, last, 0, 1), rows[blocks, first : last + 1].tobytes()]
     out += [_sos((1, 2, 3), 0, 0, 1, 0), _packed((value[:, :, 0] & 1).astype(np.uint8).reshape(-1))]
     codes = _lookup(AC_TABLE)[2]
-    for c in range(3):
+    rows = odd.reshape(-1, 64)
+    for c, blocks in enumerate(order):
         bits = []
-        for i in range(0, len(raw), 32_767):
-            part = odd[i : i + 32_767, c, 1:].reshape(-1)
+        for i in range(0, len(blocks), 32_767):
+            part = rows[blocks[i : i + 32_767], 1:].reshape(-1)
             r = (len(part) // 63).bit_length() - 1
             code, length = codes[r << 4]
             bits += [np.array(_spelled(code, length) + _spelled(len(part) // 63 - (1 << r), r), np.uint8), part]
@@ -443,10 +463,24 @@ def encode(payload: bytes) -> bytes:
     return b"".join([*out, b"\xff\xd9"])
 
 
+def _placed(image: Image) -> list[np.ndarray]:
+    """For each component the numbers of its blocks in the interleaved order, row by row."""
+    units = _interleaved(list(image.components.values()))
+    out, at, whole = [], 0, sum(u.shape[1] for u in units)
+    for u in units:
+        number = np.arange(len(u))[:, None] * whole + at + np.arange(u.shape[1])
+        place = np.empty(u.size, np.int64)
+        place[u.reshape(-1)] = number.reshape(-1)
+        out.append(place)
+        at += u.shape[1]
+    return out
+
+
 def payload_of(image: Image) -> bytes:
     """The bytes that encode() stored."""
     n = next(int(c[8:]) for c in image.comments if c.startswith(b"payload="))
-    value = np.stack([c.coef for c in image.components.values()], axis=1)
+    components = list(image.components.values())
+    value = np.concatenate([c.coef[u] for c, u in zip(components, _interleaved(components), strict=True)], axis=1)
     return np.where(value > 0, value, value + 255).astype(np.uint8).tobytes()[:n]
 
 
