@@ -41,3 +41,15 @@ def test_address(spark):
     assert got == {0: ("10.0.0.1", "10.0.0.1"), 63_999: ("10.0.255.250", "10.0.255.250"), 64_000: ("10.1.0.1", "10.0.256.1"), 16_383_999: ("10.255.255.250", "10.0.65535.250"), None: (None, None)}
     with pytest.raises(Exception, match="16,384,000 users"):
         spark.range(16_384_000, 16_384_001).select(address("id")).collect()
+
+
+def test_many_users_fused(spark, many_users):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (c_custkey + 63990 AS c_custkey) FROM '{SF}/customer.parquet') TO '{many_users}/customer.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{many_users}/events.parquet'")
+    names = dict(con.execute(f"SELECT '10.0.' || c_custkey // 250 || '.' || c_custkey % 250 + 1, c_name FROM '{many_users}/customer.parquet'").fetchall())
+    alerts = QUERIES["alerts_fused"](spark, str(many_users)).collect()
+    uploads = {r.entity for r in alerts if r.threat_class == "exfiltration"}
+    assert uploads == {e for (e,) in con.execute(f"SELECT DISTINCT entity FROM ({ORACLES['upload_alerts']})").fetchall()}
+    assert all(r.entity.startswith(r.host) and r.asset_name == names.get(r.host, "unregistered") for r in alerts)
+    assert any(int(r.host.split(".")[2]) > 255 and r.asset_name != "unregistered" for r in alerts)
